@@ -37,3 +37,11 @@ def written(df: DataFrame) -> DataFrame:
 def documents_of(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of the input can't clash with those an operator adds."""
     return docs.select(*[F.col(f"`{n}`") for n in names])
+
+
+def free(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of ``df`` has (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -28,6 +28,8 @@ from .common import written
 
 #: Reach of the knapsack program, in words beyond the smallest and the largest size that is left; it bounds memory.
 REACH = 1 << 18
+#: Documents of each size that the even share leaves to the knapsack program.
+BACK = 8
 SLICES = 64
 
 
@@ -59,6 +61,12 @@ def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
     share = budget / total
     out = {k: int(n * share) for k, n in counts.items()}
     left = budget - sum(k * n for k, n in out.items())
+    # Some documents of each size go back, the small sizes first, so that the program can choose among them.
+    for k in sorted(counts):
+        back = min(out[k], BACK)
+        if left + back * k > REACH // 2:
+            break
+        out[k], left = out[k] - back, left + back * k
     # Large sizes first bring what is left into the program's reach.
     for k in sorted(counts, reverse=True):
         if left <= REACH // 2:
@@ -134,14 +142,15 @@ def _mixed(rows: DataFrame, weights: tuple[float, ...], budget: float, cap: floa
 
 def take(docs: DataFrame, **params) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with all its columns."""
-    copies = mix(docs, **params).where("copies > 0").groupBy("doc_id", "source", "_t").agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows"))
-    d, c = docs.withColumn("_t", F.xxhash64("text")).alias("d"), copies.alias("c")
+    copies = mix(docs, **params).where("copies > 0").groupBy("doc_id", "source", "_t").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows")).alias("c")
+    whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")
+    d = docs.select(F.col("doc_id"), F.col("source"), F.xxhash64("text").alias("_t"), whole).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d._t") == F.col("c._t"))
-    found = d.join(c, same).select("d.*", "c._all", "c._rows")
+    found = d.join(copies, same).select("d.*", "c.all", "c.rows")
     # Rows equal in all that chooses them share what they take, the first ones the remainder. Only those with a remainder are numbered.
-    even = found.where("_all % _rows = 0").withColumn("_n", F.expr("cast(_all div _rows as int)"))
+    even = found.where("all % rows = 0").withColumn("n", F.expr("cast(all div rows as int)"))
     number = F.row_number().over(Window.partitionBy("doc_id", "source", "_t").orderBy("_t"))
-    odd = found.where("_all % _rows > 0").withColumn("_k", number)
-    odd = odd.withColumn("_n", F.expr("cast(_all div _rows as int) + CASE WHEN _k <= _all % _rows THEN 1 ELSE 0 END")).where("_n > 0")
-    both = even.unionByName(odd.drop("_k"))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[F.col(f"`{n}`") for n in docs.columns])
+    odd = found.where("all % rows > 0").withColumn("k", number)
+    odd = odd.withColumn("n", F.expr("cast(all div rows as int) + CASE WHEN k <= all % rows THEN 1 ELSE 0 END")).where("n > 0")
+    both = even.unionByName(odd.drop("k"))
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select(*[F.col(f"row.`{n}`").alias(n) for n in docs.columns])

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, written
 
 KINDS = ("email", "ip", "card", "phone", "cue")
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -166,39 +166,43 @@ def bootstrap(graph: DataFrame, rounds: int = 3, least_score: float = 0.5, least
     return graph.where(~F.col("seed")).join(good, "cue").select("pattern", "value").distinct()
 
 
-def find_pii(docs: DataFrame, rounds: int = 3, least_score: float = 0.5, least_seeds: int = 3) -> DataFrame:
-    """docs with a column ``spans``."""
+def find_pii(docs: DataFrame, rounds: int = 3, least_score: float = 0.5, least_seeds: int = 3, name: str = "spans") -> DataFrame:
+    """docs with a column of spans."""
     text = F.coalesce("text", F.lit(""))
     key = F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"), F.length(text).alias("n"))
     hits = written(cue_hits(docs, key).distinct())
     taken = bootstrap(hits.select("pattern", "value").distinct(), rounds, least_score, least_seeds)
     coded_span = F.struct("start", F.lit(KINDS.index("cue")).alias("k"), "end")
-    extra = hits.join(taken, ["pattern", "value"]).groupBy("key").agg(F.collect_set(coded_span).alias("_extra"))
+    extra = hits.join(taken, ["pattern", "value"]).groupBy("key").agg(F.collect_set(coded_span).alias("extra"))
     extra = written(extra)
-    based = docs.withColumn("spans", base_spans(text))
+    based = docs.withColumn(name, base_spans(text))
     if extra.limit(1).count() == 0:
         return based
     # Only texts that hold a cue can have more; the others need no join.
     plain = based.where(~text.rlike("[:=#]"))
-    rest = based.where(text.rlike("[:=#]")).withColumn("_key", key)
-    joined = rest.join(extra.withColumnRenamed("key", "_key"), "_key", "left")
-    both = F.when(F.col("_extra").isNull(), F.col("spans")).otherwise(as_spans(F.concat(coded(F.col("spans")), F.col("_extra"))))
-    return plain.unionByName(joined.withColumn("spans", both).select(*plain.columns))
+    k, e = free(based, "_key"), free(based, "_extra")
+    rest = based.where(text.rlike("[:=#]")).withColumn(k, key)
+    joined = rest.join(extra.select(F.col("key").alias(k), F.col("extra").alias(e)), k, "left")
+    both = F.when(F.col(e).isNull(), F.col(name)).otherwise(as_spans(F.concat(coded(F.col(name)), F.col(e))))
+    return plain.unionByName(joined.withColumn(name, both).select(*[F.col(f"`{c}`") for c in plain.columns]))
 
 
 def redact(docs: DataFrame, **params) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; overlapping spans become one, of the first one's kind. n_chars follows the text."""
-    found = find_pii(docs, **params)
+    spans = free(docs, "_spans")
+    found = find_pii(docs, name=spans, **params)
     text = F.coalesce("text", F.lit(""))
     folded = F.aggregate(
-        "spans",
+        spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda s, x: F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))).otherwise(
             F.struct(x["end"].alias("at"), F.concat(s["out"], text.substr(s["at"] + 1, x["start"] - s["at"]), F.lit("["), x["kind"], F.lit("]")).alias("out"))
         ),
     )
-    clean = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.concat(folded["out"], text.substr(folded["at"] + 1, F.length(text))))
-    made = found.withColumn("text", clean)
+    changed = F.size(spans) > 0
+    clean = F.when(changed, F.concat(folded["out"], text.substr(folded["at"] + 1, F.length(text)))).otherwise(F.col("text"))
+    columns = {"text": clean.alias("text")}
     if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return made.select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(changed, F.length(clean).cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
+    return found.select(*[columns.get(c, F.col(f"`{c}`")) for c in docs.columns])

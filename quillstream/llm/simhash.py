@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, documents_of, written
+from .common import ASCII_LOWER, documents_of, free, written
 from .components import connected_components
 
 #: Runs longer than this are cut by further bits before pairs are looked at.
@@ -181,24 +181,24 @@ def fingerprint_hex(fp) -> F.Column:
 def keep_one(docs: DataFrame, width: int = 4, distance: int = 4, references: int = 8) -> DataFrame:
     """One row of each component stays, with all its columns: that of the least doc_id (nulls last; of equal doc_ids and
     fingerprints any one)."""
-    columns = docs.columns
-    schema = docs.withColumn("_fp", F.lit(0).cast("long")).schema
+    columns, fp = docs.columns, free(docs, "_fp")
+    schema = docs.withColumn(fp, F.lit(0).cast("long")).schema
     at = columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.fromiter((fingerprint(x.as_py(), width) for x in batch.column(at)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view(np.int64))], names=[*columns, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view(np.int64))], names=[*columns, fp])
 
     marked = written(docs.mapInArrow(work, schema))
-    distinct = written(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("least")))
+    rows = marked.select("doc_id", F.col(fp).alias("fp"))
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = written(connected_components(links(distinct.select("fp"), distance, references)).withColumnRenamed("node", "fp"))
     labelled = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("w")
-    winners = written(labelled.groupBy("root").agg(first).select(F.col("w.fp").alias("_wfp"), F.col("w.least").alias("_wid")))
-    same = (F.col("_fp") == F.col("_wfp")) & F.col("doc_id").eqNullSafe(F.col("_wid"))
-    kept = marked.join(winners, same, "left_semi")
-    rows = marked.select("doc_id", "_fp").join(winners, same, "left_semi")
-    if rows.groupBy("doc_id", "_fp").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "_fp"])
+    winners = written(labelled.groupBy("root").agg(first).select(F.col("w.fp").alias("fp"), F.col("w.least").alias("least"))).alias("w")
+    kept = marked.alias("m").join(winners, (F.col(f"m.{fp}") == F.col("w.fp")) & F.col("m.doc_id").eqNullSafe(F.col("w.least")), "left_semi")
+    again = rows.alias("r").join(winners, (F.col("r.fp") == F.col("w.fp")) & F.col("r.doc_id").eqNullSafe(F.col("w.least")), "left_semi")
+    if again.groupBy("doc_id", "fp").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", fp])
     return kept.select(*[F.col(f"`{c}`") for c in columns])
