@@ -77,21 +77,26 @@ class ToxicityModel:
         return float(1.0 / (1.0 + np.exp(-np.clip(total, -30, 30))))
 
 
-def select_features(sets: list[set[str]], y: np.ndarray, limit: int, always: set[str]) -> list[str]:
-    """Those that tell the classes apart most, by the signed root of the likelihood ratio; those seen in under three texts are left out."""
-    one, zero = Counter(), Counter()
-    for s, t in zip(sets, y):
-        (one if t else zero).update(s)
+def select_features(texts: list[str | None], y: np.ndarray, limit: int, always: set[str]) -> list[str]:
+    """Those seen in toxic texts that tell the classes apart most, by the likelihood ratio, and all of ``always`` that occur.
+    One text's features are held at a time; of clean texts only features that toxic ones have are counted."""
+    one: Counter[str] = Counter()
+    for t, toxic in zip(texts, y):
+        if toxic:
+            one.update(features(t))
+    one = Counter({f: n for f, n in one.items() if n >= 2 or f in always})
+    zero: Counter[str] = Counter()
+    for t, toxic in zip(texts, y):
+        if not toxic:
+            zero.update([f for f in features(t) if f in one or f in always])
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     scored = []
     for f in {*one, *zero}:
         a, b = one[f], zero[f]
-        if a + b < 3:
-            continue
         p, q, m = a / n1, b / n0, (a + b) / (n1 + n0)
         if f in always:
             scored.append((np.inf, f))
-        elif p > q:
+        elif p > q and a + b >= 3:
             terms = ((a, p, m), (n1 - a, 1 - p, 1 - m), (b, q, m), (n0 - b, 1 - q, 1 - m))
             scored.append((sum(k * np.log(u / v) for k, u, v in terms if k > 0), f))
     scored = [x for x in scored if x[0] > 4.0]
@@ -105,18 +110,17 @@ def fit(texts: list[str | None], toxic: list[int], groups=IDENTITY_TERMS, counte
         return ToxicityModel()
     terms = {t for g in groups for t in g}
     always = terms | {"^" + t[:n] for t in terms for n in LEADING if len(t) >= n}
-    sets = [features(t) for t in texts]
-    names = select_features(sets, y, limit, always)
+    names = select_features(texts, y, limit, always)
     at = {f: k for k, f in enumerate(names)}
 
-    def matrix(rows: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        pairs = [(i, at[f]) for i, s in enumerate(rows) for f in s if f in at]
-        return tuple(np.array(pairs, dtype=np.int64).reshape(-1, 2).T)  # type: ignore[return-value]
+    def matrix(rows) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(sorted(at[f] for f in features(t) if f in at), dtype=np.int32) for t in rows]
+        return np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate([*found, np.empty(0, np.int32)])
 
-    r, c = matrix(sets)
-    touched = [i for i, s in enumerate(sets) if s & terms]
-    swapped = matrix([features(swap_identity(texts[i], groups)) for i in touched])
-    own = matrix([sets[i] for i in touched])
+    r, c = matrix(texts)
+    touched = [i for i, t in enumerate(texts) if not terms.isdisjoint(WORD.findall((t or "").lower()))]
+    swapped = matrix(swap_identity(texts[i], groups) for i in touched)
+    own = matrix(texts[i] for i in touched)
     w, b, n = np.zeros(len(names)), float(np.log(y.mean() / (1 - y.mean()))), len(y)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, rounds + 1):
@@ -142,8 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2500, negatives:
     part = lambda t, n: known.where(F.col("toxic") == t).orderBy("_h", "doc_id").limit(n)
     sample = part(1, positives).unionByName(part(0, negatives)).select("doc_id", "toxic")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most positives + negatives rows
-    found = rows.toArrow().to_pylist()
-    found.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    found = sorted(rows.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["text"] or ""))
     return fit([r["text"] for r in found], [r["toxic"] for r in found], **params)
 
 
