@@ -1 +1,6 @@
+"""Registered queries."""
 
+from .catalog import QUERIES, SQL
+from . import catalog_text  # noqa: F401  registers its queries
+
+__all__ = ["QUERIES", "SQL"]
