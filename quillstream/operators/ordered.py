@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import shared_dir
+
 Keys = list[str]
 
 
@@ -54,7 +56,8 @@ def global_rank(rows: DataFrame, order: list[Column], name: str = "rank") -> Dat
     go on from the number of rows before it."""
     spark = rows.sparkSession
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    placed = placed.checkpoint() if spark.sparkContext.getCheckpointDir() else placed.cache()
+    shared_dir(spark)
+    placed = placed.checkpoint()  # ids must not change when a lost partition is made anew
     per = placed.groupBy("_p").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n")).orderBy("_p").collect()  # a row per partition
     before, table = 0, []
     for r in per:

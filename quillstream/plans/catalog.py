@@ -49,10 +49,13 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
     return out.select("stream_id", "event_id", "event_type", "value", "frame_idx", F.least(F.col("value") / 200, F.lit(1.0)).alias("prob"), (F.col("value") / 1000).alias("rms"))
 
 
+def voiced() -> Column:
+    return F.col("value") >= 50
+
+
 FRAMES = """WITH f AS (SELECT user_id AS stream_id, event_id, event_type, value,
   CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS frame_idx,
   least(value / 200, 1.0) AS prob, value / 1000 AS rms FROM events)"""
-VOICED = F.col("value") >= 50
 RUNS = FRAMES + """, v AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY stream_id ORDER BY frame_idx) AS g FROM f WHERE value >= 50),
 r AS (SELECT stream_id, min(frame_idx) AS frame_start, max(frame_idx) AS frame_end, count(*) AS frames, avg(prob) AS mean_prob,
   coalesce(stddev_samp(prob), 0) AS std_prob FROM v GROUP BY stream_id, g)"""
@@ -63,7 +66,7 @@ r AS (SELECT stream_id, min(frame_idx) AS frame_start, max(frame_idx) AS frame_e
 
 @query(RUNS + " SELECT stream_id, frame_start, frame_end, frames, round(mean_prob, 6) AS mean_prob, round(std_prob, 6) AS std_prob FROM r WHERE frames >= 3")
 def speech_runs(spark: SparkSession, d: str) -> DataFrame:
-    runs = G.threshold_runs(frames(spark, d), K, VOICED, "prob", 3)
+    runs = G.threshold_runs(frames(spark, d), K, voiced(), "prob", 3)
     return runs.select(*K, "frame_start", "frame_end", "frames", r6("mean_prob").alias("mean_prob"), r6("std_prob").alias("std_prob"))
 
 
@@ -75,13 +78,13 @@ s AS (SELECT stream_id, min(frame_start) AS frame_start, max(frame_end) AS frame
 
 @query(MERGED + " SELECT * FROM s")
 def speech_runs_merged(spark: SparkSession, d: str) -> DataFrame:
-    return G.merge_gaps(G.threshold_runs(frames(spark, d), K, VOICED, "prob"), K, 2, 3)
+    return G.merge_gaps(G.threshold_runs(frames(spark, d), K, voiced(), "prob"), K, 2, 3)
 
 
 @query(FRAMES + """, v AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY stream_id ORDER BY frame_idx) AS g FROM f WHERE value < 50)
 SELECT stream_id, min(frame_idx) AS frame_start, max(frame_idx) AS frame_end, count(*) AS frames FROM v GROUP BY stream_id, g HAVING count(*) >= 3""")
 def nonspeech_runs(spark: SparkSession, d: str) -> DataFrame:
-    return G.threshold_runs(frames(spark, d), K, ~VOICED, "prob", 3).select(*K, "frame_start", "frame_end", "frames")
+    return G.threshold_runs(frames(spark, d), K, ~voiced(), "prob", 3).select(*K, "frame_start", "frame_end", "frames")
 
 
 def _bounds(f: DataFrame) -> DataFrame:
@@ -96,7 +99,7 @@ UNION ALL SELECT stream_id, frame_start, frame_end, type, CAST(row_number() OVER
   SELECT stream_id, frame_start, frame_end, 'speech' AS type FROM s UNION ALL SELECT stream_id, frame_start, frame_end, 'non_speech' FROM n WHERE frame_end >= frame_start)""")
 def segments_all(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d)
-    speech = G.merge_gaps(G.threshold_runs(f, K, VOICED, "prob"), K, 2, 3).select(*K, "frame_start", "frame_end")
+    speech = G.merge_gaps(G.threshold_runs(f, K, voiced(), "prob"), K, 2, 3).select(*K, "frame_start", "frame_end")
     rest = G.complement(speech, K, _bounds(f)).withColumn("type", F.lit("non_speech"))
     return G.number(speech.withColumn("type", F.lit("speech")).unionByName(rest), K, ["frame_start"])
 
@@ -424,7 +427,7 @@ def union_all(spark: SparkSession, d: str) -> DataFrame:
 SELECT f.stream_id, f.frame_idx, CAST(coalesce(min(s.num), 0) AS INTEGER) AS segment_num FROM f LEFT JOIN s ON f.stream_id = s.stream_id AND f.frame_idx BETWEEN s.frame_start AND s.frame_end GROUP BY ALL""")
 def interval_first_match(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d)
-    segments = G.number(G.threshold_runs(f, K, VOICED, "prob", 2), K, ["frame_start"])
+    segments = G.number(G.threshold_runs(f, K, voiced(), "prob", 2), K, ["frame_start"])
     return O.interval_first_match(f.select(*K, "frame_idx"), segments, K, "frame_idx", "frame_start", "frame_end", "num")
 
 

@@ -10,6 +10,7 @@ from ..functions import textual as T
 from ..operators import aggregates as A
 from ..operators import ordered as O
 from ..operators import seams as M
+from ..operators import signals as X
 from ..operators import vectors as V
 from ..session import table
 from ..sources import files as IO
@@ -572,3 +573,99 @@ def embedding_seam(spark: SparkSession, d: str) -> DataFrame:
 def language_seam(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "text", "lang")
     return M.apply(docs, "language", M.stub_language("text")).select("doc_id", "lang", "lang_label", "lang_score")
+
+
+@query()
+def offset_search(spark: SparkSession, d: str) -> DataFrame:
+    """The second quarter of each vector looked for in the vector itself."""
+    e = _vectors(spark, d).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"), F.transform(F.slice("embedding", 17, 16), lambda x: x.cast("double")).alias("b"))
+    return X.find_offsets(e, "a", "b", "all").select("vec_id", "matches")
+
+
+@query()
+def partial_search(spark: SparkSession, d: str) -> DataFrame:
+    e = _vectors(spark, d).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
+    pairs = e.select("vec_id", "a", F.concat(F.slice("a", 9, 24), F.array_repeat(F.lit(0.0), 8)).alias("b"))
+    return X.find_offsets(pairs, "a", "b", "partial", 0.75).select("vec_id", "matches")
+
+
+@query()
+def long_segment_split(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.frames import merge_gaps, threshold_runs
+
+    f = frames(spark, d)
+    return X.split_long(merge_gaps(threshold_runs(f, K, F.col("value") >= 30, "prob"), K, 3, 3), f, K, 8)
+
+
+@query(RUNS + """ SELECT r.stream_id, r.frame_start, r.frame_end, count(*) AS frames, round(avg(f.prob), 6) AS mean, round(min(f.prob), 6) AS min, round(max(f.prob), 6) AS max, round(stddev_pop(f.prob), 6) AS std,
+ round(median(f.prob), 6) AS median, round(sqrt(avg(f.rms * f.rms)), 6) AS rms FROM r JOIN f ON f.stream_id = r.stream_id AND f.frame_idx BETWEEN r.frame_start AND r.frame_end GROUP BY ALL""")
+def segment_slices(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.frames import threshold_runs
+
+    f = frames(spark, d)
+    runs = threshold_runs(f, K, F.col("value") >= 50, "prob").select(*K, "frame_start", "frame_end")
+    out = X.slice_stats(runs, f, K)
+    return out.select(*K, "frame_start", "frame_end", "frames", *[r6(c).alias(c) for c in ("mean", "min", "max", "std", "median", "rms")])
+
+
+@query()
+def phrase_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """A stream's event types as words, in phrases of four."""
+    f = frames(spark, d)
+    words = f.select(*K, F.col("frame_idx").alias("n"), F.col("event_type").alias("word"), F.col("frame_idx").cast("double").alias("start"), (F.col("frame_idx") + 1.0).alias("end"))
+    item = F.array_sort(F.collect_list(F.struct("n", "word")))
+    phrases = words.groupBy(*K, F.floor(F.col("n") / 4).cast("int").alias("n4")).agg(F.array_join(F.transform(item, lambda x: x["word"]), "").alias("phrase")).withColumnRenamed("n4", "n")
+    return X.align_phrases(phrases, words, K, "n")
+
+
+@query("""SELECT event_id FROM events WHERE ts > (SELECT TIMESTAMP '2024-01-15 00:00:00') - INTERVAL 300 SECOND""")
+def recent_rows(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events", "event_id", "ts").withColumn("ts", F.col("ts").cast("timestamp"))
+    return R.recent_rows(e, "ts", "2024-01-15 00:00:00").select("event_id")
+
+
+@query("""SELECT user_id, arg_max(event_type, (ts, event_id)) AS text FROM events WHERE event_id % 3 > 0 GROUP BY user_id""")
+def event_token_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of which every third is a partial one: the last finished one of each user."""
+    e = table(spark, d, "events", "event_id", "ts", "user_id", "event_type")
+    kind = F.when(F.col("event_id") % 3 == 0, "partial").otherwise("done")
+    message = F.to_json(F.struct(kind.alias("type"), F.col("event_type").alias("text")))
+    return R.event_tokens(e.select("user_id", F.struct("ts", "event_id").alias("at"), message.alias("m")), "user_id", "at", "m")
+
+
+@query()
+def pending_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """User turns as early halves, the next assistant turns as late ones."""
+    t = table(spark, d, "conversations").where("role <> 'system'")
+    halves = t.select("conv_id", F.col("turn").alias("idx"), F.floor(F.col("turn") / 2).alias("id"), F.when(F.col("role") == "assistant", "final").otherwise("early").alias("kind"), "text")
+    return R.fold_batch(halves, ["conv_id"], ["idx"], R.pending_pairs(), "id long, early string, late string")
+
+
+@query()
+def partial_final(spark: SparkSession, d: str) -> DataFrame:
+    f = frames(spark, d).select(*K, F.col("frame_idx").alias("idx"), (F.col("value") / 100).alias("seconds"), (F.col("event_type") == "purchase").alias("end"))
+    return R.fold_batch(f, K, ["idx"], R.partial_final(), "idx int, kind string, seconds double")
+
+
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '\n[^\n]*[ \t]+$') THEN md5(rtrim(text, ' ' || chr(9))) ELSE md5(text) END AS digest FROM documents""")
+def trailing_blank(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(S.strip_trailing_blank(F.col("text"))).alias("digest"))
+
+
+@query()
+def normalised_wer_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(T.normalise_wer_udf()(F.col("text"))).alias("digest"))
+
+
+@query()
+def split_sentences_ja(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.size(S.split_sentences_ja(F.col("text"))).alias("n"))
+
+
+@query("""SELECT a.label, count(*) AS pairs, count(*) FILTER (WHERE list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) > 0.5) AS accepted
+FROM embeddings a JOIN (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) b USING (label) GROUP BY a.label""")
+def store_verify(spark: SparkSession, d: str) -> DataFrame:
+    e = _vectors(spark, d)
+    store = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    out = V.verify(e, store, "label", "embedding", 0.5)
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), F.count_if("accepted").alias("accepted"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that suit this engine at any size; a cluster's own settings come on top.
@@ -24,3 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     """One of the tables of a folder, with only the named columns read."""
     found = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return found.select(*columns) if columns else found
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only in local mode where it is unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        conf = spark.conf.get("spark.checkpoint.dir", None)
+        if conf is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            conf = tempfile.mkdtemp(prefix="quillstream-")
+        context.setCheckpointDir(conf)
+    return context.getCheckpointDir()

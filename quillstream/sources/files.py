@@ -78,7 +78,7 @@ def paired_folder(spark: SparkSession, audio: str, texts: str, limit: int | None
     """Audio and text files of one stem, by name."""
     stem = lambda p: F.regexp_extract(p, r"([^/]+)\.[^./]+$", 1)
     a = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(audio).select(stem(F.col("path")).alias("stem"), F.col("path").alias("audio_path"), "content")
-    t = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt").text(texts).select(stem(F.col("_metadata.file_path")).alias("stem"), F.col("value").alias("reference"))
+    t = spark.read.option("pathGlobFilter", "*.txt").text(texts, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("stem"), F.col("value").alias("reference"))
     both = a.join(t, "stem").orderBy("stem")
     return both.limit(limit) if limit is not None else both
 
