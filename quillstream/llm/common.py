@@ -1,29 +1,15 @@
-"""Shared helpers: the shared scratch folder, worker code shipping, tables written to cut lineage."""
+"""Shared helpers: tables written to cut lineage, columns and their names."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-
+from ..session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only in local mode where it is unset."""
-    context = spark.sparkContext
-    found = context.getCheckpointDir()
-    if found is None:
-        conf = spark.conf.get("spark.checkpoint.dir", None)
-        if conf is None:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            conf = tempfile.mkdtemp(prefix="quillstream-")
-        context.setCheckpointDir(conf)
-        found = context.getCheckpointDir()
-    return found
+ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -39,33 +39,38 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 #: Words in class, id or role that mark boilerplate.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising banner promo promoted sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead "
-    "comment comments disqus reply replies respond notice notices cookie cookies consent gdpr popup modal subscribe newsletter signup share sharing social related recommended toolbar pagination pager widget "
+    "comment comments disqus reply replies respond notice notices alert cookie cookies consent gdpr popup modal subscribe newsletter signup share sharing social related recommended toolbar pagination pager widget "
     "contentinfo complementary search login copyright".split()
 )
+#: Those of them that mark what readers wrote, and first words of class names that say only how a page is laid out.
+READERS = frozenset("comment comments disqus reply replies respond".split())
+LAYOUT = frozenset("has with no without is hide show js".split())
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
-def marked(attributes: str) -> bool:
-    """Whether class, id or role name boilerplate."""
+def marked(attributes: str) -> int:
+    """2 if class, id or role name readers' comments, 1 if other boilerplate, else 0."""
+    out = 0
     for m in ATTRIBUTE.finditer(attributes):
-        value = CAMEL.sub(r"\1 \2", html.unescape(m[2] or m[3] or m[4] or ""))
-        if not BOILERPLATE.isdisjoint(WORDS.findall(value.lower())):
-            return True
-    return False
+        for name in html.unescape(m[2] or m[3] or m[4] or "").split():
+            words = WORDS.findall(CAMEL.sub(r"\1 \2", name).lower())
+            if words and words[0] not in LAYOUT and not BOILERPLATE.isdisjoint(words):
+                out = max(out, 1 if READERS.isdisjoint(words) else 2)
+    return out
 
 
 def nodes(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, int, str]]:
     """path, whether it is hidden, whether an article or main element holds it, block number, decoded text, in page order."""
-    stack: list[tuple[str, bool, bool]] = []  # element, hidden, inside content
+    stack: list[tuple[str, int, bool]] = []  # element, hidden, inside content
     block, at, size = 0, 0, len(page)
 
     def emit(raw: str):
         if raw and not raw.isspace():
-            hidden, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            hidden, inside = (stack[-1][1] > 0, stack[-1][2]) if stack else (False, False)
             yield tuple(s[0] for s in stack), hidden, inside, block, html.unescape(raw)
         elif raw:
-            hidden, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            hidden, inside = (stack[-1][1] > 0, stack[-1][2]) if stack else (False, False)
             yield tuple(s[0] for s in stack), hidden, inside, block, " "
 
     while at < size:
@@ -82,7 +87,7 @@ def nodes(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, int, str]]:
             return  # a tag cut off at the end
         name = m[2].lower()
         if name == "br":
-            yield (*[s[0] for s in stack],), stack[-1][1] if stack else False, stack[-1][2] if stack else False, block, " "
+            yield tuple(s[0] for s in stack), bool(stack) and stack[-1][1] > 0, bool(stack) and stack[-1][2], block, " "
         if name not in INLINE:
             block += 1
         if m[1]:
@@ -111,10 +116,15 @@ def nodes(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, int, str]]:
                     break
         if name == "body" and stack and stack[-1][0] == "head":
             stack.pop()
-        inside = bool(stack) and stack[-1][2] or name in CONTENT
-        within_article = any(s[0] in CONTENT for s in stack)
-        hidden = bool(stack) and stack[-1][1] or (name in HIDDEN and not (name == "header" and within_article)) or bool(m[3]) and name not in ("html", "body") and name not in CONTENT and marked(m[3])
-        stack.append((name, hidden, inside))
+        # 3: by its element, 2: by a name that marks comments, 1: by another name; a main element or an article within the last is content again.
+        above = stack[-1][1] if stack else 0
+        own = marked(m[3]) if m[3] and name not in ("html", "body") else 0
+        if name in HIDDEN and not (name == "header" and any(s[0] in CONTENT for s in stack)):
+            own = 3
+        if name in CONTENT:
+            own = own if own == 2 else 0
+            above = 0 if above == 1 or name == "main" and above == 2 else above
+        stack.append((name, max(above, own), bool(stack) and stack[-1][2] or name in CONTENT))
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             if end is None:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ordered import global_rank
 from .common import written
 
 #: Reach of the knapsack program, in words beyond the smallest and the largest size that is left; it bounds memory.
@@ -51,6 +52,24 @@ def targets(sizes: list[int], weights: list[float], budget: float, cap: float) -
             fixed[k] = cap * sizes[k]
 
 
+def shared_targets(totals: DataFrame, weights: tuple[float, ...], budget: float, cap: float) -> DataFrame:
+    """``targets`` over a table of source and source_size: adds target. Only sums come to the driver, so there may be any number of sources.
+
+    With a share of ``level`` for each unit of weight, sources over their cap are fixed; what they leave raises the level, until no further one is over."""
+    order = [F.asc_nulls_last("source")]
+    kind = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("_k") - 1) % len(weights) + 1).cast("int"))
+    table = written(global_rank(totals, order, "_k").select("source", "source_size", kind.alias("_w"), (F.col("source_size") * float(cap)).alias("_most")))
+    all_sizes = table.agg(F.sum("source_size")).first()[0]
+    total, level, fixed = budget * float(all_sizes or 0), 0.0, -1
+    while True:
+        over = F.col("_w") * F.lit(level) > F.col("_most")
+        sums = table.agg(F.count_if(over).alias("n"), F.coalesce(F.sum(F.when(over, F.col("_most"))), F.lit(0.0)).alias("held"), F.sum(F.when(~over, F.col("_w"))).alias("weight")).first()
+        if sums["n"] == fixed or not sums["weight"]:
+            break
+        fixed, level = sums["n"], (total - sums["held"]) / sums["weight"]
+    return table.select("source", "source_size", F.least(F.col("_w") * F.lit(level), F.col("_most")).alias("target"))
+
+
 def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each size to take so that the sizes sum as near to the budget as the program finds, and not beyond it where it can."""
     total = sum(k * n for k, n in counts.items())
@@ -103,14 +122,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float =
 
 
 def _mixed(rows: DataFrame, weights: tuple[float, ...], budget: float, cap: float) -> DataFrame:
-    spark = rows.sparkSession
     by_size = written(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
-    # One row per source, in code-point order.
-    totals = sorted(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    goal = targets([int(r["s"]) for r in totals], [float(weights[k % len(weights)]) for k in range(len(totals))], budget, cap) if any(r["s"] for r in totals) else [0.0] * len(totals)
-    sources = spark.createDataFrame(
-        [(r["source"], int(r["s"]), float(g)) for r, g in zip(totals, goal)], "source string, source_size long, target double"
-    )
+    totals = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    sources = shared_targets(totals, weights, budget, cap)
 
     def fitted(part: pd.DataFrame) -> pd.DataFrame:
         counts = {int(k): int(n) for k, n in zip(part["size"], part["n"]) if k > 0}

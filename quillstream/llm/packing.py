@@ -31,7 +31,7 @@ from .common import ASCII_LOWER, documents_of, written
 
 PUNCTUATION = b'.,;:!?#$%&*()[]"-+=/'
 #: Entries of a worker's word cache; it is emptied when full.
-CACHE = 1_000_000
+CACHE = 600_000
 
 
 class WordTokenizer:

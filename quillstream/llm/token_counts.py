@@ -27,7 +27,7 @@ from .common import documents_of
 
 MARK = "▁"
 #: Entries of a worker's count cache; it is emptied when full.
-CACHE = 1_000_000
+CACHE = 600_000
 
 
 def zipf_scores(pieces: Iterable[str]) -> dict[str, float]:

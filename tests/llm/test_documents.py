@@ -199,6 +199,14 @@ def test_targets():
     assert got[0] == 200 and got[3] == 0 and sum(got) == pytest.approx(450) and got[2] == pytest.approx(2 * got[1])
 
 
+def test_targets_of_a_table_equal_those_of_a_list(spark):
+    rng = random.Random(2)
+    sizes = [(f"s{k:02}", rng.choice([0, 1, 5, 400, 90_000])) for k in range(40)] + [(None, 77)]
+    got = {r["source"]: r["target"] for r in mixing.shared_targets(spark.createDataFrame(sizes, "source string, source_size long"), (3, 1, 2), 1.5, 2.0).collect()}
+    want = mixing.targets([n for _, n in sizes], [float((3, 1, 2)[k % 3]) for k in range(41)], 1.5, 2.0)
+    assert [got[s] for s, _ in sizes] == pytest.approx(want)
+
+
 def test_fit_budget_is_exact_where_brute_force_is():
     rng = random.Random(6)
     for _ in range(200):

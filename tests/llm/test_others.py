@@ -32,6 +32,8 @@ MENU = '<nav><ul><li><a href="/a">Home</a><li><a href="/b">About</a></ul></nav>'
         ("<article><p>one</p><!-- open <p>two</p>", "one"),
         ("<article><p>a &lt;b&gt; &#233; &am", "a <b> é &am"),
         ("<script>only", ""),
+        ("<body><div class='page has-sidebar'><div class='sidebar-layout'><article><p>Kept.</p></article></div></div><section id='comments'><article class='comment'>Mine!</article></section></body>", "Kept."),
+        ("<article><p>Said.</p><div class='related-posts'>More</div><div class='commentList'><article>No.</article></div></article>", "Said."),
         ("<article><div><header><h1>Inner</h1></header>x</div></article>", "Inner\nx"),
     ],
 )
