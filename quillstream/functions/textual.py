@@ -108,43 +108,22 @@ def fuzzy_window(query: str | None, texts: list[str] | None, cutoff: float = 75.
     return best[1] if best else None
 
 
+#: Triple-quoted blocks, strings within a line, comments.
+CODE = re.compile(r"(\"\"\"|\'\'\').*?(?:\1|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|#[^\n]*", re.S)
+
+
 def strip_comments(code: str | None, triple: bool = False) -> str | None:
-    """Without # comments outside strings; triple: without bare triple-quoted blocks too."""
+    """Without # comments outside strings; triple: without triple-quoted blocks that begin a line too."""
     if code is None:
         return None
-    out, quote, k = [], "", 0
-    while k < len(code):
-        three = code[k : k + 3]
-        if quote:
-            if code[k] == "\\":
-                out.append(code[k : k + 2])
-                k += 2
-                continue
-            if code.startswith(quote, k):
-                out.append(quote)
-                k += len(quote)
-                quote = ""
-                continue
-        elif three in ('"""', "'''"):
-            end = code.find(three, k + 3)
-            if triple and end >= 0 and not "".join(out).rpartition("\n")[2].strip():
-                k = end + 3
-                continue
-            quote = three
-            out.append(three)
-            k += 3
-            continue
-        elif code[k] in "\"'":
-            quote = code[k]
-        elif code[k] == "#":
-            end = code.find("\n", k)
-            k = len(code) if end < 0 else end
-            continue
-        if quote in ("'", '"') and code[k] == "\n":
-            quote = ""
-        out.append(code[k])
-        k += 1
-    return "\n".join(line.rstrip() for line in "".join(out).split("\n"))
+
+    def keep(m: re.Match) -> str:
+        if m[0][0] == "#":
+            return ""
+        bare = triple and m[1] and not code[code.rfind("\n", 0, m.start()) + 1 : m.start()].strip()
+        return "" if bare else m[0]
+
+    return "\n".join(line.rstrip() for line in CODE.sub(keep, code).split("\n"))
 
 
 def remove_calls(code: str | None, names: tuple[str, ...] = ("logger.", "logging.", "print(", "console.")) -> str | None:

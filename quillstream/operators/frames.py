@@ -246,3 +246,37 @@ def last_low_frame(frames: DataFrame, key: Keys, order: Keys, condition: Column,
     """Index of the last frame before this one, at most ``back`` frames ago, for which the condition holds."""
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(-back, -1)
     return frames.withColumn("last_low", F.max(F.when(condition, F.col("frame_idx"))).over(w))
+
+
+def mask_segments(frames: DataFrame, key: Keys, active: Column, hop_sec: float, offset: str | None = None) -> DataFrame:
+    """Runs of active frames as seconds [start, end), moved by a chunk's offset column."""
+    cols = [*key, *([offset] if offset else [])]
+    marked = mark_runs(frames.withColumn("_f", F.coalesce(active, F.lit(False))), key, ["frame_idx"], F.col("_f")).where("_f")
+    runs = marked.groupBy(*cols, "run").agg(F.min("frame_idx").alias("_a"), (F.max("frame_idx") + 1).alias("_b")).drop("run")
+    move = F.col(offset) if offset else F.lit(0.0)
+    return runs.withColumn("start", F.col("_a") * hop_sec + move).withColumn("end", F.col("_b") * hop_sec + move).drop("_a", "_b")
+
+
+def slice_by_time(samples: Column, start: float, end: float | None, rate: int) -> Column:
+    """Samples of [start, end) seconds; to the end if it is not given."""
+    a = int(start * rate)
+    n = F.size(samples) - a if end is None else F.least(F.lit(int(end * rate)), F.size(samples)) - a
+    return F.slice(samples, a + 1, F.greatest(n, F.lit(0)))
+
+
+def finalise(segments: DataFrame, key: Keys, order: Keys, duration: str, least: float = 0.3) -> DataFrame:
+    """Segments of at least so many seconds, numbered from 1."""
+    return number(segments.where(F.col(duration) >= least), key, order, "num")
+
+
+def paragraphs(lines: DataFrame, key: Keys, order: str, text: str) -> DataFrame:
+    """Runs of non-blank lines: their number, first line and text, each line trimmed."""
+    full = F.trim(F.coalesce(text, F.lit(""))) != ""
+    marked = mark_runs(lines.withColumn("_f", full), key, [order], F.col("_f")).where("_f")
+    item = F.array_sort(F.collect_list(F.struct(order, F.trim(text).alias("_t"))))
+    return marked.groupBy(*key, "run").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("lines"), F.array_join(F.transform(item, lambda x: x["_t"]), "\n").alias("paragraph")).drop("run")
+
+
+def last_n(rows: DataFrame, key: Keys, order: Keys, value: str, n: int, name: str = "recent") -> DataFrame:
+    """The last n values up to each row, oldest first."""
+    return rows.withColumn(name, F.collect_list(value).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(1 - n, 0)))

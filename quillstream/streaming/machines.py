@@ -273,3 +273,30 @@ def event_tokens(rows: DataFrame, key: str, order: str, payload: str) -> DataFra
 def windowed_counts(rows: DataFrame, time: str, key: str, value: str, size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Tumbling event-time counts with a watermark; works on tables and streams."""
     return rows.withWatermark(time, late).groupBy(F.window(time, size), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+
+
+def segment_events(pre_roll: int = 200) -> Step:
+    """Start and end events of segments (start, end, reason): a start reaches back ``pre_roll`` frames, but not behind a forced split."""
+
+    def step(s: dict, row: dict) -> tuple[dict, list[dict]]:
+        forced = s.get("reason") in ("hard", "valley")
+        begin = row["start"] if forced else max(s.get("end", -1) + 1, row["start"] - pre_roll, 0)
+        out = [{"event": "start", "frame": int(begin), "reason": None}, {"event": "end", "frame": int(row["end"]), "reason": row["reason"]}]
+        return {"end": int(row["end"]), "reason": row["reason"]}, out
+
+    return step
+
+
+def incremental_transcript(cutoff: float = 75.0) -> Step:
+    """Texts that grow: each row's text is compared with the one before; what is new is kept in sentences, unless the old text is
+    not found again, when all of it is new."""
+    from ..functions.textual import appended_text, partial_ratio
+
+    def step(s: dict, row: dict) -> tuple[dict, list[dict]]:
+        before, text = s.get("text", ""), row["text"] or ""
+        tail = before[-40:]
+        again = bool(before) and partial_ratio(tail, text) >= cutoff
+        new = appended_text(before, text) if again else text
+        return {"text": text}, [{"idx": row["idx"], "is_continued": again, "new_text": new}]
+
+    return step
