@@ -264,7 +264,7 @@ def progressive_text(spark: SparkSession, d: str) -> DataFrame:
     return G.progressive_text(table(spark, d, "conversations"), ["conv_id"], ["turn"], "text").select("conv_id", "turn", F.md5("text_so_far").alias("digest"))
 
 
-@query(FRAMES + """, w AS (SELECT stream_id, event_id, frame_idx * 5.0 AS o, value / 100 AS v FROM f)
+@query(FRAMES + """, w AS (SELECT stream_id, event_id, CAST(frame_idx AS DOUBLE) * 5 AS o, value / 100 AS v FROM f)
 SELECT event_id, round(o, 6) AS "start", round(o + v, 6) AS "end", CAST(row_number() OVER (PARTITION BY stream_id ORDER BY o, event_id) AS INTEGER) AS "index" FROM w""")
 def offset_words(spark: SparkSession, d: str) -> DataFrame:
     w = frames(spark, d).select(*K, "event_id", (F.col("frame_idx") * 5.0).alias("o"), F.lit(0.0).alias("start"), (F.col("value") / 100).alias("end"))

@@ -171,3 +171,30 @@ def segment_metadata(spark: SparkSession, d: str) -> DataFrame:
     meta = F.struct(F.concat(F.lit("segment_"), F.col("frame_start").cast("string")).alias("filename"), F.col("stream_id").alias("utterance_id"), F.round(F.col("frames") * 0.01, 3).alias("duration_sec"),
                     F.lit(16000).alias("sample_rate"), F.when(F.col("frames") > 3, vad).alias("vad_stats"))
     return runs.select(*K, "frame_start", F.to_json(meta).alias("meta"))
+
+
+@query("""SELECT CAST(floor(epoch(ts)) AS BIGINT) // 600 * 600 AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
+def stream_tumbling_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The event-time windows of ``tumbling_counts``, run as a stream to its end."""
+    from ..streaming.jobs import drain, file_stream
+
+    out = drain(R.windowed_counts(file_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value", "10 minutes"), "complete")
+    return out.select(F.unix_timestamp("window.start").alias("window_start"), "event_type", "n", r6("total").alias("total"))
+
+
+@query("""SELECT event_id, least(value / 200, 1.0) >= 0.5 AS is_speech, event_type FROM events WHERE event_type IN ('click', 'purchase')""")
+def stream_route(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of known types as they arrive."""
+    from ..streaming.jobs import drain, file_stream
+
+    rows = file_stream(spark, d, "events").where(F.col("event_type").isin("click", "purchase"))
+    return drain(rows.select("event_id", (F.least(F.col("value") / 200, F.lit(1.0)) >= 0.5).alias("is_speech"), "event_type"))
+
+
+@query()
+def stream_hotwords(spark: SparkSession, d: str) -> DataFrame:
+    """The stateful fold of ``hotwords_decay`` over a stream of conversations."""
+    from ..streaming.jobs import drain, file_stream
+
+    rows = file_stream(spark, d, "conversations", 1000).select("conv_id", F.col("turn").alias("idx"), S.words(F.col("text")).alias("tokens"))
+    return drain(R.fold_stream(rows, ["conv_id"], ["idx"], R.decayed_words(), "idx int, rank int, word string, weight double"))
