@@ -96,9 +96,9 @@ REFUSALS = (
 )
 
 
-def is_valid_sentence(text: Column) -> Column:
-    """Ordered rules of what counts as a sentence."""
-    t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+def is_valid_sentence(text: Column, trimmed: bool = False) -> Column:
+    """Ordered rules of what counts as a sentence. trimmed: the text has no white space at its ends."""
+    t = text if trimmed else strip(text)
     words = F.size(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""))
     ends = t.rlike(r"[.!?]$")
     return (
@@ -183,6 +183,18 @@ def html_lines(html: Column) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
+#: Elements whose text is not a page's main text.
+SIDE_ELEMENTS = ("head", "nav", "header", "footer", "aside", "form", "button", "select", "noscript")
+
+
+def html_main_lines(html: Column) -> Column:
+    """Lines of a page without menus, headers, footers, side parts and forms: a rule for pages that mark these by element."""
+    t = html
+    for name in SIDE_ELEMENTS:
+        t = F.regexp_replace(t, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "\n")
+    return html_lines(t)
+
+
 def split_sentences(text: Column) -> Column:
     """After 。！？…, which stay with the line ends behind them."""
     return F.filter(F.regexp_extract_all(text, F.lit(r"[^。！？…\n]*(?:[。！？…]+\n*|\n+|$)"), F.lit(0)), lambda s: s != "")

@@ -12,12 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import aggregates as A
 from ..operators import frames as G
 from ..operators import ordered as O
-from ..operators import vectors as V
 from ..session import table
-from ..sources import files as IO
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -192,7 +192,8 @@ SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE ok) AS valid FROM v GRO
 @query(SENTENCES)
 def valid_sentences(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(F.split("text", "\n")).alias("s"))
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(S.is_valid_sentence(F.col("s"))).alias("valid"))
+    trimmed = lines.select("doc_id", S.strip(F.col("s")).alias("s"))
+    return trimmed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(S.is_valid_sentence(F.col("s"), trimmed=True)).alias("valid"))
 
 
 @query("""SELECT doc_id FROM documents WHERE (contains(lower(text), 'license') OR lower(text) LIKE 'the%.') AND NOT contains(lower(text), '@mail')""")
@@ -229,8 +230,10 @@ def ocr_regions(spark: SparkSession, d: str) -> DataFrame:
 # --- text --------------------------------------------------------------------------------------------------------------
 
 
-def _html_sql(last: str) -> str:
+def _html_sql(last: str, without: tuple[str, ...] = ()) -> str:
     t = "html"
+    for name in without:
+        t = rf"regexp_replace({t}, '(?is)<{name}\b[^>]*>.*?</{name}\s*>', chr(10), 'g')"
     for gone in (r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?s)<!--.*?-->"):
         t = f"regexp_replace({t}, '{gone}', '', 'g')"
     t = rf"regexp_replace({t}, '(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|td|th|table|section|article|header|footer|nav|title|body|head|html|main|aside|blockquote|pre|dl|dt|dd)\b[^>]*>', chr(10), 'g')"
@@ -247,6 +250,12 @@ def html_text(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("page_id", F.size("l").cast("long").alias("n_lines"), F.md5(F.array_join("l", "\n")).alias("digest"))
 
 
+@query(_html_sql("SELECT page_id, len(l) AS n_lines, md5(array_to_string(l, chr(10))) AS digest FROM l", S.SIDE_ELEMENTS))
+def html_main(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "pages", "page_id", "html").select("page_id", S.html_main_lines(F.col("html")).alias("l"))
+    return lines.select("page_id", F.size("l").cast("long").alias("n_lines"), F.md5(F.array_join("l", "\n")).alias("digest"))
+
+
 @query(_html_sql("SELECT page_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS line, md5(unnest(l)) AS digest FROM l"))
 def html_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages", "page_id", "html").select("page_id", F.posexplode(S.html_lines(F.col("html"))).alias("line", "t")).select("page_id", "line", F.md5("t").alias("digest"))
