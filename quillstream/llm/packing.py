@@ -60,53 +60,63 @@ class WordTokenizer:
         return np.array(self.inner.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
-        cache, alone, parts, plain = self.cache, [], [], set()
-        for word in words:
-            core = word.rstrip(PUNCTUATION)
-            if core and len(core) < len(word) and core[-1:].isalpha():
-                parts.append((word, core, word[len(core) :]))
+        cache = self.cache
+        cores = {w: w.rstrip(PUNCTUATION) for w in words}
+        parts = {w: c for w, c in cores.items() if c and len(c) < len(w) and c[-1:].isalpha()}
+        need = (words - parts.keys()).union(parts.values(), (w[len(c) :] for w, c in parts.items())).difference(cache)
+        plain: list[str] = []
+        mixed: list[str] = []
+        for word in need:
+            if word.isalpha():  # ASCII letters only
+                plain.append(word.decode())
+                continue
+            text = word.decode()
+            if not unicodedata.is_normalized("NFC", text) or "<|" in text:
+                cache[word] = self._one(word)
             else:
-                alone.append(word)
-        for word in {*alone, *(c for _, c, _ in parts), *(s for _, _, s in parts)}:
-            if word not in cache:
-                text = word.decode()
-                if text.isalpha() and unicodedata.is_normalized("NFC", text):
-                    plain.add(word)
-                else:
-                    cache[word] = self._one(word)
-        todo = list(plain)
-        for k in range(0, len(todo), 10_000):
-            some = todo[k : k + 10_000]
-            made = self.inner.encode(" ".join([w.decode() for w in some]), add_special_tokens=False)
+                (plain if text.isalpha() else mixed).append(text)
+        for k in range(0, len(mixed), 20_000):  # of several runs of tokens each: told apart by their places
+            some = mixed[k : k + 20_000]
+            made = self.inner.encode(" ".join(some), add_special_tokens=False)
+            lengths = np.fromiter(map(len, some), np.int64, len(some))
+            starts = np.cumsum(lengths + 1) - lengths - 1
+            of = np.searchsorted(starts, np.array([o[0] for o in made.offsets], dtype=np.int64), side="right") - 1
+            ends = np.searchsorted(of, np.arange(len(some)), side="right")
+            raw, at = np.array(made.ids, dtype="<u4").tobytes(), 0
+            for text, end in zip(some, (ends * 4).tolist()):
+                cache[text.encode()] = raw[at:end]
+                at = end
+        for k in range(0, len(plain), 20_000):
+            some = plain[k : k + 20_000]
+            made = self.inner.encode(" ".join(some), add_special_tokens=False)
             of = np.array(made.word_ids, dtype=np.int64)
-            if len(of) and (np.diff(of) >= 0).all() and len(np.unique(of)) == len(some):
-                ids = np.array(made.ids, dtype="<u4")
-                ends = np.flatnonzero(np.diff(of, append=of[-1] + 1)) + 1
-                raw, at = ids.tobytes(), 0
-                for word, end in zip(some, (ends * 4).tolist()):
-                    cache[word] = raw[at:end]
+            ends = np.flatnonzero(np.diff(of, append=-1)) + 1  # each word is one run of tokens
+            if len(ends) == len(some):
+                raw, at = np.array(made.ids, dtype="<u4").tobytes(), 0
+                for text, end in zip(some, (ends * 4).tolist()):
+                    cache[text.encode()] = raw[at:end]
                     at = end
             else:
-                for word in some:
-                    cache[word] = self._one(word)
-        for word, core, rest in parts:
-            cache[word] = cache[core] + cache[rest]
+                for text in some:
+                    cache[text.encode()] = self._one(text.encode())
+        for word, core in parts.items():
+            cache[word] = cache[core] + cache[word[len(core) :]]
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian unsigned 32-bit ids of each text. The texts of one call are held together."""
+        split: list[list[bytes]] = []
+        cache, new = self.cache, set()
+        if len(cache) > CACHE:
+            cache.clear()
         for text in texts:
             raw = (text or "").encode("utf-8", "surrogatepass")
             if b"<|" not in raw:
                 raw = raw.translate(ASCII_LOWER)
-            words = raw.split()
-            cache = self.cache
-            try:
-                yield b"".join([cache[w] for w in words])
-            except KeyError:
-                if len(cache) > CACHE:
-                    cache.clear()
-                self._learn({w for w in words if w not in cache})
-                yield b"".join([cache[w] for w in words])
+            split.append(raw.split())
+            new |= set(split[-1]).difference(cache)
+        self._learn(new)
+        for words in split:
+            yield b"".join([cache[w] for w in words])
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
