@@ -360,6 +360,7 @@ def texts_to_tiff(docs: DataFrame, width: int = 576, compression: int = DEFLATE,
 
 def features(pages: DataFrame, column: str = "pixels") -> DataFrame:
     """pages with ``feature``: mean, deviation and entropy of the 8-bit samples, and how many fall in each sixteenth of the range."""
+    pages = pages.drop("feature")
     schema = pages.withColumn("feature", F.lit("")).schema
     names, at = pages.columns, pages.columns.index(column)
 

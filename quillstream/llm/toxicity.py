@@ -151,8 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2500, negatives:
 
 
 def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
-    """docs with the model's score of each text."""
+    """docs with the model's score of each text; a column of that name is replaced."""
     held = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))  # its features are limited
+    docs = docs.drop(name)
     schema = docs.withColumn(name, F.lit(0.0)).schema
     names, at = docs.columns, docs.columns.index("text")
 

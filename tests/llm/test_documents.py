@@ -179,7 +179,7 @@ def test_toxicity_edges(spark):
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
     labels = spark.createDataFrame([(1, None, 0), (5, 1, 1), (5, 1, 0), (None, 1, 1), (77, 0, 1), (6, 0, None), (7, 0, 2)], "doc_id long, quality int, toxic int")
-    scored = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    scored = toxicity.score(docs.withColumn("score", F.lit("clash")), toxicity.train(docs, labels)).collect()
     assert len(scored) == docs.count() and all(0 <= r["score"] <= 1 for r in scored)
     assert toxicity.score(empty(spark), none).count() == 0
 

@@ -206,6 +206,22 @@ def test_pipeline(spark, sf):
     assert p.ORACLE_SQL is None and [n for n, _ in p.STAGES] == ["toxicity", "near_duplicates", "personal_data", "mixture", "packing"]
 
 
+def test_stages_on_edge_rows(spark, sf):
+    import corpus_pipeline as p
+    from test_documents import ODD, edge, empty
+
+    for name, stage in p.STAGES:
+        docs = edge(spark).withColumn("score", F.lit("clash")).withColumn("spans", F.lit(1)).withColumn("_score", F.lit(1))
+        out = stage(spark, docs, sf)
+        if name != "packing":
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        rows = out.collect()
+        if name in ("toxicity", "personal_data"):
+            assert len(rows) == len(ODD) + 4
+        assert rows, name
+        assert stage(spark, empty(spark), sf).count() == 0, name
+
+
 def test_queries_are_registered():
     names = list(queries.queries())
     assert names[:10] == sorted(names[:10], key=lambda n: int(n[2:].split("_")[0])) and names[10] == "pipeline"
