@@ -142,10 +142,12 @@ def eer_sweep(trials: DataFrame, distance: str, same: str, steps: int = 1000, to
     spark = trials.sparkSession
     cell = F.least(F.greatest(F.floor(F.col(distance) / (top / (steps - 1))) + 1, F.lit(0)), F.lit(steps)).cast("int")
     cells = trials.where(F.col(distance).isNotNull()).groupBy(cell.alias("k")).agg(F.count_if(F.col(same)).alias("pos"), F.count_if(~F.col(same)).alias("neg"))
-    grid = spark.range(steps).select(F.col("id").cast("int").alias("k"), (F.col("id") * (top / (steps - 1))).alias("threshold"))
-    w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    total = cells.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    swept = grid.join(cells, "k", "left").na.fill(0, ["pos", "neg"]).withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)}).join(F.broadcast(total))
+    # The last cell holds what no threshold reaches; totals and running sums are windows over these rows alone.
+    grid = spark.range(steps + 1).select(F.col("id").cast("int").alias("k"), (F.col("id") * (top / (steps - 1))).alias("threshold"))
+    w = Window.orderBy("k")
+    so_far, every = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    swept = grid.join(cells, "k", "left").na.fill(0, ["pos", "neg"])
+    swept = swept.withColumns({"tp": F.sum("pos").over(so_far), "fp": F.sum("neg").over(so_far), "p": F.sum("pos").over(every), "n": F.sum("neg").over(every)}).where(F.col("k") < steps)
     rates = swept.withColumns({"far": F.try_divide(F.col("fp").cast("double"), F.col("n")), "frr": 1 - F.try_divide(F.col("tp").cast("double"), F.col("p"))})
     rates = rates.withColumn("gap", F.abs(F.col("far") - F.col("frr")))
     best = F.min_by(F.struct("threshold", "far", "frr", "gap"), F.struct("gap", "k"))

@@ -412,9 +412,7 @@ def _trials(spark: SparkSession, d: str) -> DataFrame:
     e = _vectors(spark, d)
     n = e.agg(F.count(F.lit(1)).alias("n"))
     t = e.select(F.col("vec_id").alias("id1")).crossJoin(F.broadcast(n)).select("id1", ((F.col("id1") * 7 + 13) % F.col("n")).alias("id2"))
-    scored = V.trial_scores(t, e, "vec_id", "embedding")
-    label = e.select(F.col("vec_id").alias("id1"), F.col("label").alias("l1")), e.select(F.col("vec_id").alias("id2"), F.col("label").alias("l2"))
-    return scored.join(label[0], "id1").join(label[1], "id2").withColumn("same", F.col("l1") == F.col("l2"))
+    return V.trial_scores(t, e, "vec_id", "embedding", carry=("label",)).withColumn("same", F.col("label_1") == F.col("label_2"))
 
 
 @query(TRIALS + " SELECT id1, id2, round(distance, 6) AS distance, distance < 0.7 AS is_same FROM s")
