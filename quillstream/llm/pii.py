@@ -34,7 +34,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CUE = r"(?<![\p{L}_-])[\p{L}_-]{2,40}+\x20?[:=#]\x20?[\x22']?[^\s\x22',;]{4,120}"
 CUE_PARTS = r"^([\p{L}_-]++\x20?[:=#]\x20?)[\x22']?(.*)$"
-OCTETS = r"^0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
+PART = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})|0++)"
+OCTETS = r"^" + PART + r"(?:\." + PART + "){3}$"
 
 
 def _digits(c: Column) -> Column:
