@@ -3,11 +3,13 @@ r"""Personal data by fixed patterns and by bootstrapped contextual extraction, i
 Base kinds (leftmost, non-overlapping, each kind for itself; a match that fails its check is dropped, without retry):
 email, ip (parts at most 255), card (14 to 19 digits that pass Luhn's check), phone (10 to 15 digits).
 
-The method adds spans of kind ``cue``. A lexical pattern is the word and the sign (``:``, ``=`` or ``#``) that stand
-before a value, with the value's shape. Values that are base matches seed the graph of patterns and values. In each round a pattern's score is
+The method adds spans of kind ``cue``. A lexical pattern is what stands before a value: a word and a sign (``:``, ``=`` or
+``#``), or two plain words ("me at"), with the value's shape. The base spans themselves, spaces included, seed the graph of
+patterns and values; a value that overlaps a base span and does not start with it is none. In each round a pattern's score is
 the mean score of its different values (with a prior of one bad value), and a value's score is the greatest of its
 patterns'; seeds keep 1. Patterns with enough seeds and score at the end give their values, as do the values' other
-places under such patterns. Only values with a digit can be found.
+places under such patterns. Only values with a digit can be found, and they end at white space. Patterns with too few seeds
+are left out before the rounds, as they can pass on no score.
 
 All tables that the rounds work on are counts per pattern and value; no group is gathered. The found values are
 written to the shared folder, and Spark broadcasts them only if the written size is under its own threshold.
@@ -32,8 +34,9 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-CUE = r"(?<![\p{L}_-])[\p{L}_-]{2,40}+\x20?[:=#]\x20?[\x22']?[^\s\x22',;]{4,120}"
-CUE_PARTS = r"^([\p{L}_-]++\x20?[:=#]\x20?)[\x22']?(.*)$"
+CUE = r"(?<![\p{L}_-])[\p{L}_-]{2,40}+\x20?[:=#]\x20?[\x22']?[^\s\x22',;]{1,120}"
+WORDS = r"(?<![\p{L}\p{N}_])\p{L}++\s{1,3}\p{L}++\s{1,3}(?=[^\s0-9@]*+[0-9@])[^\s\x22',;]++"
+CUE_PARTS = r"^([\p{L}_-]++\x20?[:=#]\x20?|\p{L}++\s{1,3}\p{L}++\s{1,3})[\x22']?(.*)$"
 PART = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})|0++)"
 OCTETS = r"^" + PART + r"(?:\." + PART + "){3}$"
 
@@ -131,27 +134,35 @@ def render(spans: Column) -> Column:
 
 
 def cue_hits(docs: DataFrame, key: Column) -> DataFrame:
-    """key, pattern, value, start, end of every cue and value in the texts. Only texts with a sign that a cue ends in are read closely."""
+    """key, pattern, cue, value, start, end, seed of every pattern and value in the texts. A base span that starts where the
+    value does is the value, as a whole. Only texts with a digit or an @ are read closely."""
     text = F.coalesce("text", F.lit(""))
-    hits = docs.where(text.rlike("[:=#]")).select(key.alias("key"), F.explode(matches(text, CUE)).alias("h"))
+    found = F.concat(F.when(text.rlike("[:=#]"), matches(text, CUE)).otherwise(F.array().cast(HIT)), matches(text, WORDS))
+    hits = docs.where(text.rlike("[0-9@]")).select(key.alias("key"), text.alias("t"), found.alias("found"), base_spans(text).alias("base"))
+    hits = hits.select("key", "t", "base", F.explode("found").alias("h"))
     front, value = F.regexp_extract("h.value", CUE_PARTS, 1), F.regexp_extract("h.value", CUE_PARTS, 2)
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"\p{L}++", "a"), "[0-9]++", "9"), r"(?:a9|9a)[a9]*+", "x")
     end = F.col("h.start") + F.length("h.value")
-    return hits.select("key", F.concat_ws("\t", F.lower(F.trim(front)), F.substring(shape, 1, 12)).alias("pattern"), value.alias("value"), (end - F.length(value)).alias("start"), end.alias("end"))
+    hits = hits.select("key", "t", "base", front.alias("front"), (end - F.length(value)).alias("start"), end.alias("token_end"))
+    whole = F.array_max(F.transform(F.filter("base", lambda s: s["start"] == F.col("start")), lambda s: s["end"]))
+    crossed = F.exists("base", lambda s: (s["start"] < F.col("token_end")) & (s["end"] > F.col("start")))
+    hits = hits.withColumn("seed", whole.isNotNull()).withColumn("end", F.coalesce(whole, "token_end")).where(F.col("seed") | ~crossed)
+    hits = hits.withColumn("value", F.col("t").substr(F.col("start") + 1, F.col("end") - F.col("start")))
+    hits = hits.where(F.col("seed") | (F.length("value") >= 4) & F.col("value").rlike("[0-9]"))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", r"\p{L}++", "a"), "[0-9]++", "9"), r"(?:a9|9a)[a9]*+", "x")
+    cue = F.lower(F.trim(F.regexp_replace("front", r"\s++", " ")))
+    return hits.select("key", F.concat_ws("\t", cue, F.substring(shape, 1, 12)).alias("pattern"), cue.alias("cue"), "value", "start", "end", "seed")
 
 
-def is_seed(value: Column) -> Column:
-    """Whether the whole value is a base match."""
-    return F.coalesce(
-        value.rlike("^(?:" + EMAIL + ")$") | _valid_ip(value) | (value.rlike("^" + CARD + "$") & _valid_card(value)) | (value.rlike("^" + PHONE + "$") & _valid_phone(value)), F.lit(False)
-    )
+def seeded(hits: DataFrame, least_seeds: int) -> DataFrame:
+    """The hits of cues with enough seeds: no other can be trusted, in any round."""
+    enough = hits.where("seed").select("cue", "value").distinct().groupBy("cue").count().where(F.col("count") >= least_seeds)
+    return hits.join(F.broadcast(written(enough.select("cue"))), "cue", "left_semi")
 
 
 def bootstrap(graph: DataFrame, rounds: int = 3, least_score: float = 0.5, least_seeds: int = 3) -> DataFrame:
-    """(pattern, value) pairs to take. graph: pattern, value, each pair once. Patterns of one cue differ by the value's shape; a
-    cue's score counts for all its shapes, so that seeds of one shape let values of another be found."""
-    graph = graph.where(F.col("value").rlike("[0-9]") | is_seed(F.col("value"))).withColumn("cue", F.substring_index("pattern", "\t", 1)).withColumn("seed", is_seed(F.col("value")))
-    values = graph.select("value", F.col("seed").cast("double").alias("score"), "seed").distinct()
+    """(pattern, value) pairs to take. graph: pattern, cue, value, seed, each pair once. Patterns of one cue differ by the value's
+    shape; a cue's score counts for all its shapes, so that seeds of one shape let values of another be found."""
+    values = graph.groupBy("value").agg(F.max("seed").alias("seed")).select("value", F.col("seed").cast("double").alias("score"), "seed")
     patterns = None
     for _ in range(rounds):
         patterns = (
@@ -171,18 +182,18 @@ def find_pii(docs: DataFrame, rounds: int = 3, least_score: float = 0.5, least_s
     """docs with a column of spans."""
     text = F.coalesce("text", F.lit(""))
     key = F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"), F.length(text).alias("n"))
-    hits = written(cue_hits(docs, key).distinct())
-    taken = bootstrap(hits.select("pattern", "value").distinct(), rounds, least_score, least_seeds)
+    hits = written(seeded(written(cue_hits(docs, key).distinct()), least_seeds))
+    taken = bootstrap(hits.groupBy("pattern", "cue", "value").agg(F.max("seed").alias("seed")), rounds, least_score, least_seeds)
     coded_span = F.struct("start", F.lit(KINDS.index("cue")).alias("k"), "end")
-    extra = hits.join(taken, ["pattern", "value"]).groupBy("key").agg(F.collect_set(coded_span).alias("extra"))
+    extra = hits.where(~F.col("seed")).join(taken, ["pattern", "value"]).groupBy("key").agg(F.collect_set(coded_span).alias("extra"))
     extra = written(extra)
     based = docs.withColumn(name, base_spans(text))
     if extra.limit(1).count() == 0:
         return based
-    # Only texts that hold a cue can have more; the others need no join.
-    plain = based.where(~text.rlike("[:=#]"))
+    # Only texts that hold a digit can have more; the others need no join.
+    plain = based.where(~text.rlike("[0-9]"))
     k, e = free(based, "_key"), free(based, "_extra")
-    rest = based.where(text.rlike("[:=#]")).withColumn(k, key)
+    rest = based.where(text.rlike("[0-9]")).withColumn(k, key)
     joined = rest.join(extra.select(F.col("key").alias(k), F.col("extra").alias(e)), k, "left")
     both = F.when(F.col(e).isNull(), F.col(name)).otherwise(as_spans(F.concat(coded(F.col(name)), F.col(e))))
     return plain.unionByName(joined.withColumn(name, both).select(*[F.col(f"`{c}`") for c in plain.columns]))

@@ -1,0 +1,14 @@
+"""Bootstrapping from base spans with spaces, and from plain words."""
+
+from quillstream.llm import pii
+
+
+def test_spans_with_spaces_seed_signs_and_plain_words(spark):
+    texts = [f"phone: +1 (988) 555-{2480 + k} is mine" for k in range(6)]
+    texts += [f"please call me at +1 (988) 555-{1480 + k} today" for k in range(6)]
+    texts += ["card: 4111 1111 1111 1111", "phone: X77-12345 ok", "please call me at Z88-12345 soon", "we met in 1999A then", "no data"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["spans"]] for r in pii.find_pii(df).collect()}
+    assert all(got[k] == [("phone", texts[k][texts[k].index("+") :][:17])] for k in range(12)), got
+    assert got[12] == [("card", "4111 1111 1111 1111")] and got[13] == [("cue", "X77-12345")] and got[14] == [("cue", "Z88-12345")]
+    assert got[15] == [] and got[16] == []
