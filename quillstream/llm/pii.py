@@ -3,13 +3,14 @@ r"""Personal data by fixed patterns and by bootstrapped contextual extraction, i
 Base kinds (leftmost, non-overlapping, each kind for itself; a match that fails its check is dropped, without retry):
 email, ip (parts at most 255), card (14 to 19 digits that pass Luhn's check), phone (10 to 15 digits).
 
-The method adds spans of kind ``cue``. A lexical pattern is what stands before a value: a word and a sign (``:``, ``=`` or
-``#``), or two plain words ("me at"), with the value's shape. The base spans themselves, spaces included, seed the graph of
-patterns and values; a value that overlaps a base span and does not start with it is none. In each round a pattern's score is
-the mean score of its different values (with a prior of one bad value), and a value's score is the greatest of its
-patterns'; seeds keep 1. Patterns with enough seeds and score at the end give their values, as do the values' other
-places under such patterns. Only values with a digit can be found, and they end at white space. Patterns with too few seeds
-are left out before the rounds, as they can pass on no score.
+The method adds spans of kinds ``key`` (access keys of a published form, seeds like the base kinds) and ``cue``. A lexical pattern (a cue) is what stands before a value: a word and a sign (``:``, ``=``
+or ``#``), or two plain words ("me at"). Seed entities are the base spans, as a whole and with their spaces, and secrets of a shape that leaves
+no doubt (16 or more letters and digits in one run, three digits at least among them); a value that overlaps a base span and does not start
+with it is none. The graph of cues and different values is scored in rounds: a cue's support is the sum of its values'
+scores and its confidence their mean, with a prior of one bad value; a cue with enough of both is trusted and lends its confidence to
+its values, so values found under one cue let another be trusted in the next round. Seeds keep the score 1. Every value of a
+cue that is trusted at the end is a span, up to white space, a quote, a comma or a semicolon, however long it is; seeds of no trusted cue are none.
+Values hold a digit and at least four characters, or are seeds.
 
 All tables that the rounds work on are counts per pattern and value; no group is gathered. The found values are
 written to the shared folder, and Spark broadcasts them only if the written size is under its own threshold.
@@ -29,12 +30,16 @@ from pyspark.sql import functions as F
 
 from .common import free, written
 
-KINDS = ("email", "ip", "card", "phone", "cue")
+KINDS = ("email", "ip", "card", "phone", "key", "cue")
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-CUE = r"(?<![\p{L}_-])[\p{L}_-]{2,40}+\x20?[:=#]\x20?[\x22']?[^\s\x22',;]{1,120}"
+CUE = r"(?<![\p{L}_-])[\p{L}_-]{2,}+\x20?[:=#]\x20?[\x22']?[^\s\x22',;]++"
+#: Access keys of a published fixed form.
+KEY = r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36})(?![A-Za-z0-9_])"
+#: Shape of a secret that may seed: long, letters and digits in one run.
+SECRET = r"^(?=(?:[A-Za-z]*+[0-9]){3})(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}+$"
 WORDS = r"(?<![\p{L}\p{N}_])\p{L}++\s{1,3}\p{L}++\s{1,3}(?=[^\s0-9@]*+[0-9@])[^\s\x22',;]++"
 CUE_PARTS = r"^([\p{L}_-]++\x20?[:=#]\x20?|\p{L}++\s{1,3}\p{L}++\s{1,3})[\x22']?(.*)$"
 PART = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})|0++)"
@@ -59,7 +64,7 @@ def luhn(number: Column) -> Column:
     return odd % 10 == 0
 
 
-def _valid_email(c: Column) -> Column:
+def _any(c: Column) -> Column:
     return F.lit(True)
 
 
@@ -77,11 +82,13 @@ def _valid_phone(c: Column) -> Column:
 
 #: kind: pattern, check, a cheap condition that texts with a valid match fulfil.
 BASE = {
-    "email": (EMAIL, _valid_email, lambda t: t.contains("@")),
+    "email": (EMAIL, _any, lambda t: t.contains("@")),
     "ip": (IP, _valid_ip, lambda t: t.rlike(r"[0-9]\.[0-9]")),
     "card": (CARD, _valid_card, lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}")),
     "phone": (PHONE, _valid_phone, lambda t: t.contains("+")),
 }
+#: What seeds the graph and is a span wherever it stands.
+SEEDS = BASE | {"key": (KEY, _any, lambda t: t.rlike("AKIA|ASIA|ghp_"))}
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 HIT = "array<struct<start:int,value:string>>"
 
@@ -104,7 +111,7 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """Spans of the four base kinds, by start, then kind as listed."""
+    """Spans of the four base kinds and of access keys, by start, then kind as listed."""
 
     def check(valid):
         return lambda h: valid(h["value"])
@@ -113,7 +120,7 @@ def base_spans(text: Column) -> Column:
         return lambda h: F.struct(h["start"].alias("start"), F.lit(k).alias("k"), (h["start"] + F.length(h["value"])).alias("end"))
 
     parts = []
-    for k, (pattern, valid, cheap) in enumerate(BASE.values()):
+    for k, (pattern, valid, cheap) in enumerate(SEEDS.values()):
         good = F.filter(matches(text, pattern), check(valid))
         spans = F.transform(good, placed(k))
         parts.append(F.when(cheap(text), spans).otherwise(F.array().cast("array<struct<start:int,k:int,end:int>>")))
@@ -134,59 +141,54 @@ def render(spans: Column) -> Column:
 
 
 def cue_hits(docs: DataFrame, key: Column) -> DataFrame:
-    """key, pattern, cue, value, start, end, seed of every pattern and value in the texts. A base span that starts where the
+    """key, cue, value, start, end, base, seed of every cue and value in the texts. A base span that starts where the
     value does is the value, as a whole. Only texts with a digit or an @ are read closely."""
     text = F.coalesce("text", F.lit(""))
     found = F.concat(F.when(text.rlike("[:=#]"), matches(text, CUE)).otherwise(F.array().cast(HIT)), matches(text, WORDS))
-    hits = docs.where(text.rlike("[0-9@]")).select(key.alias("key"), text.alias("t"), found.alias("found"), base_spans(text).alias("base"))
-    hits = hits.select("key", "t", "base", F.explode("found").alias("h"))
+    hits = docs.where(text.rlike("[0-9@]")).select(key.alias("key"), text.alias("t"), found.alias("found"), base_spans(text).alias("spans"))
+    hits = hits.select("key", "t", "spans", F.explode("found").alias("h"))
     front, value = F.regexp_extract("h.value", CUE_PARTS, 1), F.regexp_extract("h.value", CUE_PARTS, 2)
     end = F.col("h.start") + F.length("h.value")
-    hits = hits.select("key", "t", "base", front.alias("front"), (end - F.length(value)).alias("start"), end.alias("token_end"))
-    whole = F.array_max(F.transform(F.filter("base", lambda s: s["start"] == F.col("start")), lambda s: s["end"]))
-    crossed = F.exists("base", lambda s: (s["start"] < F.col("token_end")) & (s["end"] > F.col("start")))
-    hits = hits.withColumn("seed", whole.isNotNull()).withColumn("end", F.coalesce(whole, "token_end")).where(F.col("seed") | ~crossed)
+    hits = hits.select("key", "t", "spans", front.alias("front"), (end - F.length(value)).alias("start"), end.alias("token_end"))
+    whole = F.array_max(F.transform(F.filter("spans", lambda s: s["start"] == F.col("start")), lambda s: s["end"]))
+    crossed = F.exists("spans", lambda s: (s["start"] < F.col("token_end")) & (s["end"] > F.col("start")))
+    hits = hits.withColumn("base", whole.isNotNull()).withColumn("end", F.coalesce(whole, "token_end")).where(F.col("base") | ~crossed)
     hits = hits.withColumn("value", F.col("t").substr(F.col("start") + 1, F.col("end") - F.col("start")))
-    hits = hits.where(F.col("seed") | (F.length("value") >= 4) & F.col("value").rlike("[0-9]"))
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", r"\p{L}++", "a"), "[0-9]++", "9"), r"(?:a9|9a)[a9]*+", "x")
+    hits = hits.where(F.col("base") | (F.length("value") >= 4) & F.col("value").rlike("[0-9]"))
+    hits = hits.where(F.col("front").rlike("[:=#]") | ~F.col("value").rlike(r"^[\p{L}_-]{2,}+[:=#]."))  # such a value has a cue of its own
     cue = F.lower(F.trim(F.regexp_replace("front", r"\s++", " ")))
-    return hits.select("key", F.concat_ws("\t", cue, F.substring(shape, 1, 12)).alias("pattern"), cue.alias("cue"), "value", "start", "end", "seed")
+    return hits.select("key", cue.alias("cue"), "value", "start", "end", "base", (F.col("base") | F.col("value").rlike(SECRET)).alias("seed"))
 
 
-def seeded(hits: DataFrame, least_seeds: int) -> DataFrame:
-    """The hits of cues with enough seeds: no other can be trusted, in any round."""
-    enough = hits.where("seed").select("cue", "value").distinct().groupBy("cue").count().where(F.col("count") >= least_seeds)
-    return hits.join(F.broadcast(written(enough.select("cue"))), "cue", "left_semi")
-
-
-def bootstrap(graph: DataFrame, rounds: int = 3, least_score: float = 0.5, least_seeds: int = 3) -> DataFrame:
-    """(pattern, value) pairs to take. graph: pattern, cue, value, seed, each pair once. Patterns of one cue differ by the value's
-    shape; a cue's score counts for all its shapes, so that seeds of one shape let values of another be found."""
+def bootstrap(graph: DataFrame, rounds: int = 3, least_score: float = 0.5, least_support: float = 3.0) -> DataFrame:
+    """cue, support and confidence of the cues to trust. graph: cue, value, seed, each pair once."""
     values = graph.groupBy("value").agg(F.max("seed").alias("seed")).select("value", F.col("seed").cast("double").alias("score"), "seed")
-    patterns = None
-    for _ in range(rounds):
-        patterns = (
-            graph.select("cue", "value").distinct().join(values, "value")
-            .groupBy("cue")
-            .agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.sum(F.col("seed").cast("long")).alias("seeds"))
-        )
-        trusted = patterns.where(F.col("seeds") >= least_seeds)
+    for k in range(rounds):
+        scored = graph.select("cue", "value").join(values, "value").groupBy("cue").agg(F.sum("score").alias("support"), F.count(F.lit(1)).alias("n"))
+        scored = scored.select("cue", "support", (F.col("support") / (F.col("n") + 1)).alias("confidence"))
+        trusted = written(scored.where((F.col("support") >= least_support) & (F.col("confidence") >= least_score)))
+        if k + 1 == rounds:
+            break
         reached = graph.select("cue", "value").join(trusted, "cue").groupBy("value").agg(F.max("confidence").alias("reached"))
-        values = values.join(reached, "value", "left").select("value", F.when(F.col("seed"), 1.0).otherwise(F.greatest("score", F.coalesce("reached", F.lit(0.0)))).alias("score"), "seed")
-        values = written(values)
-    good = patterns.where((F.col("seeds") >= least_seeds) & (F.col("confidence") >= least_score))
-    return graph.where(~F.col("seed")).join(good, "cue").select("pattern", "value").distinct()
+        score = F.when(F.col("seed"), 1.0).otherwise(F.greatest("score", F.coalesce("reached", F.lit(0.0))))
+        values = written(values.join(reached, "value", "left").select("value", score.alias("score"), "seed"))
+    return trusted
+
+
+def candidate_graph(hits: DataFrame, least_support: float) -> DataFrame:
+    """The different pairs of cue and value. Cues with fewer values than the support they need can never be trusted, and are left out."""
+    graph = hits.groupBy("cue", "value").agg(F.max("seed").alias("seed"))
+    return graph.join(graph.groupBy("cue").count().where(F.col("count") >= least_support).select("cue"), "cue", "left_semi")
 
 
-def find_pii(docs: DataFrame, rounds: int = 3, least_score: float = 0.5, least_seeds: int = 3, name: str = "spans") -> DataFrame:
+def find_pii(docs: DataFrame, rounds: int = 3, least_score: float = 0.5, least_support: float = 3.0, name: str = "spans") -> DataFrame:
     """docs with a column of spans."""
     text = F.coalesce("text", F.lit(""))
     key = F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"), F.length(text).alias("n"))
-    hits = written(seeded(written(cue_hits(docs, key).distinct()), least_seeds))
-    taken = bootstrap(hits.groupBy("pattern", "cue", "value").agg(F.max("seed").alias("seed")), rounds, least_score, least_seeds)
+    hits = written(cue_hits(docs, key).distinct())
+    trusted = bootstrap(written(candidate_graph(hits, least_support)), rounds, least_score, least_support)
     coded_span = F.struct("start", F.lit(KINDS.index("cue")).alias("k"), "end")
-    extra = hits.where(~F.col("seed")).join(taken, ["pattern", "value"]).groupBy("key").agg(F.collect_set(coded_span).alias("extra"))
-    extra = written(extra)
+    extra = written(hits.where(~F.col("base")).join(trusted.select("cue"), "cue").groupBy("key").agg(F.collect_set(coded_span).alias("extra")))
     based = docs.withColumn(name, base_spans(text))
     if extra.limit(1).count() == 0:
         return based

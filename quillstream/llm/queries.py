@@ -43,11 +43,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = F.filter("spans", lambda s: s["kind"] != "cue")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
-        "doc_id", number("email"), number("ip"), number("card"), number("phone"), F.sha2(pii.render(base), 256).alias("base_sha256"), pii.render(F.col("spans")).alias("spans")
-    )
+        "doc_id", number("email"), number("ip"), number("card"), number("phone"), F.sha2(pii.render(base), 256).alias("base_sha256"), pii.render(F.col("spans")).alias("spans"),
+        number("key"), number("cue"),
+    )
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
