@@ -23,11 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import ASCII_LOWER, documents_of, free, written
 from .components import connected_components
 
 #: Runs longer than this are cut by further bits before pairs are looked at.
 LONG_RUN = 2048
+#: Members of a long run that are compared with all others before it is cut.
+SWEEPS = 16
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -78,39 +81,73 @@ def block_masks(blocks: int, distance: int, bits: np.ndarray | None = None) -> l
 
 
 def link_run(fps: np.ndarray, table: np.ndarray, distance: int, known: int = 0) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the close pairs of one run of different fingerprints. known: bits that all share."""
-    if len(fps) > LONG_RUN:
-        free = np.array([b for b in range(64) if not known >> b & 1])
-        if len(free) >= 12:
-            for mask in block_masks(min(6, distance + 2), distance, free) if distance + 2 <= len(free) else []:
-                key = fps & np.uint64(mask)
-                order = np.argsort(key, kind="stable")
-                cuts = np.flatnonzero(np.diff(key[order])) + 1
-                for part in np.split(order, cuts):
-                    if len(part) > 1:
-                        yield from link_run(fps[part], table[part], distance, known | mask)
-            return
-    rest = np.arange(len(fps))
-    queue: list[int] = []
-    while len(rest):
-        if not queue:
-            queue.append(int(rest[0]))
-            rest = rest[1:]
-        at = queue.pop()
-        near = rest
-        for k in range(table.shape[1]):  # discard by one coordinate after the other
-            if not len(near):
+    """A spanning forest of the close pairs of one run of different fingerprints. known: bits that all share.
+
+    Long runs are swept by a few members first, which settles balls around them, and then cut by further bits into runs that overlap; a
+    union over the whole run lets a cut run start from what is joined already, so n members yield n - 1 edges at most."""
+    up = list(range(len(fps)))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def near(at: int, some: np.ndarray) -> np.ndarray:
+        """Those of some members that are close to one: discarded by one coordinate after the other, then verified."""
+        for k in range(table.shape[1]):
+            if not len(some):
                 break
-            near = near[np.abs(table[near, k].astype(np.int16) - int(table[at, k])) <= distance]
-        near = near[np.bitwise_count(fps[near] ^ fps[at]) <= distance]
-        if len(near):
-            for x in near.tolist():
+            some = some[np.abs(table[some, k].astype(np.int16) - int(table[at, k])) <= distance]
+        return some[np.bitwise_count(fps[some] ^ fps[at]) <= distance]
+
+    def join(at: int, found: np.ndarray) -> Iterator[tuple[int, int]]:
+        for x in found.tolist():
+            a, b = top(at), top(x)
+            if a != b:
+                up[max(a, b)] = min(a, b)
                 yield int(fps[at]), int(fps[x])
-            queue += near.tolist()
-            rest = np.setdiff1d(rest, near, assume_unique=True)
-
 
-def links(distinct: DataFrame, distance: int = 4, references: int = 8, expected: int | None = None) -> DataFrame:
+    def search(idx: np.ndarray, known: int) -> Iterator[tuple[int, int]]:
+        labels = np.array([top(x) for x in idx.tolist()])
+        if (labels == labels[0]).all():
+            return
+        free = np.array([b for b in range(64) if not known >> b & 1])
+        if len(idx) > LONG_RUN and len(free) >= distance + 2:
+            for at in idx[np.linspace(0, len(idx) - 1, SWEEPS).astype(int)].tolist():
+                yield from join(at, near(at, idx))
+            cuts, cost = [], 0
+            for mask in block_masks(distance + 2, distance, free):
+                key = fps[idx] & np.uint64(mask)
+                order = np.argsort(key, kind="stable")
+                parts = [p for p in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(p) > 1]
+                cuts += [(idx[p], known | mask) for p in parts]
+                cost += sum(len(p) ** 2 for p in parts)
+            if 2 * cost <= len(idx) ** 2:  # else the bits left hardly tell the members apart, and one search is less work
+                for part, bits in cuts:
+                    yield from search(part, bits)
+                return
+            labels = np.array([top(x) for x in idx.tolist()])
+        rest, queue = np.arange(len(idx)), []
+        while len(rest):
+            if not queue:
+                queue.append(int(rest[0]))
+                rest = rest[1:]
+            at = queue.pop()
+            same = labels[rest] == labels[at]  # reached without an edge
+            if same.any():
+                queue += rest[same].tolist()
+                rest = rest[~same]
+            found = np.searchsorted(idx, near(int(idx[at]), idx[rest]))
+            if len(found):
+                yield from join(int(idx[at]), idx[found])
+                queue += found.tolist()
+                rest = np.setdiff1d(rest, found, assume_unique=True)
+
+    yield from search(np.arange(len(fps)), known)
+
+
+def links(distinct: DataFrame, distance: int = 4, references: int = 16, expected: int | None = None) -> DataFrame:
     """Edges (u, v) between different fingerprints that hold together all that lie within ``distance``.
 
     The number of blocks follows the number of fingerprints: more blocks share more bits, so a run of unrelated
@@ -162,7 +199,7 @@ def links(distinct: DataFrame, distance: int = 4, references: int = 8, expected:
     return keyed.mapInArrow(pairs, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, references: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, references: int = 16) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id of the component) for each row of ``docs``."""
     rows = written(fingerprints(docs, width))
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -178,9 +215,11 @@ def fingerprint_hex(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, width: int = 4, distance: int = 4, references: int = 8) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 4, distance: int = 4, references: int = 16, least: float | None = None) -> DataFrame:
     """One row of each component stays, with all its columns: that of the least doc_id (nulls last; of equal doc_ids and
-    fingerprints any one)."""
+    fingerprints any one). least: link by this similarity of the texts' shingles, not by ``distance`` differing bits."""
+    if least is not None:
+        return similar.keep_one(docs, width, least)
     columns, fp = docs.columns, free(docs, "_fp")
     schema = docs.withColumn(fp, F.lit(0).cast("long")).schema
     at = columns.index("text")

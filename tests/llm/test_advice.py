@@ -71,7 +71,7 @@ def test_search_in_a_run_equals_brute_force():
             x = root[x]
         return x
 
-    for a, b in similar.link_sets(list(range(len(sets))), list(range(len(sets))), sets, 0.8):
+    for a, b in similar.link_sets(list(range(len(sets))), list(range(len(sets))), sets, [similar.wide_fingerprint(x) for x in sets], 0.8):
         assert jaccard(set(sets[a].tolist()), set(sets[b].tolist())) >= 0.8
         root[find(a)] = find(b)
     for i in range(len(sets)):
