@@ -124,13 +124,16 @@ def test_links_lose_none_in_dense_groups(spark):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want))
 
 
-def test_link_run_equals_brute_force_when_cut(monkeypatch):
+@pytest.mark.parametrize("distance", [2, 6, 11])
+def test_link_run_equals_brute_force_when_cut(monkeypatch, distance):
     monkeypatch.setattr(simhash, "LONG_RUN", 16)
     rng = np.random.default_rng(3)
-    fps = np.unique(rng.integers(0, 2**14, 400).astype(np.uint64) << np.uint64(20))
+    width = 14 if distance == 2 else 40
+    fps = np.unique(rng.integers(0, 2**width, 400).astype(np.uint64) << np.uint64(20))
     table = simhash.distance_table(fps, simhash.pivots(6))
-    edges = list(simhash.link_run(fps, table, 2, ~((1 << 40) - 1) & (1 << 64) - 1))
-    want = brute.components(list(range(len(fps))), fps.tolist(), 2)
+    edges = list(simhash.link_run(fps, table, distance, 0))
+    want = brute.components(list(range(len(fps))), fps.tolist(), distance)
+    assert len(edges) == len(fps) - len(set(want))  # a spanning forest
     root = {int(x): int(x) for x in fps}
 
     def find(x):
@@ -139,7 +142,7 @@ def test_link_run_equals_brute_force_when_cut(monkeypatch):
         return x
 
     for a, b in edges:
-        assert (a ^ b).bit_count() <= 2
+        assert (a ^ b).bit_count() <= distance
         root[find(a)] = find(b)
     assert len({find(int(x)) for x in fps}) == len(set(want))
 
@@ -207,19 +210,51 @@ def test_targets_of_a_table_equal_those_of_a_list(spark):
     assert [got[s] for s, _ in sizes] == pytest.approx(want)
 
 
-def test_fit_budget_is_exact_where_brute_force_is():
+def best_sum(counts, budget):
+    sums = {0}
+    for k, n in counts.items():
+        sums = {s + k * j for s in sums for j in range(n + 1)}
+    return max(s for s in sums if s <= budget)
+
+
+def test_fit_budget_reaches_the_best_sum():
     rng = random.Random(6)
+    cases = [({500_000: 3, 400_000: 3}, 1_000_000), ({300_000: 1, 310_000: 1}, 305_000), ({7_000_001: 2, 3_000_017: 3, 5: 1}, 13_000_040)]
     for _ in range(200):
         counts = {rng.randint(1, 30): rng.randint(1, 4) for _ in range(rng.randint(1, 5))}
-        total = sum(k * n for k, n in counts.items())
-        budget = rng.randint(0, total)
-        sums = {0}
-        for k, n in counts.items():
-            sums = {s + k * j for s in sums for j in range(n + 1)}
+        cases.append((counts, rng.randint(0, sum(k * n for k, n in counts.items()))))
+    for counts, budget in cases:
         got = mixing.fit_budget(counts, budget)
-        assert all(n <= counts[k] for k, n in got.items())
-        reached, best = sum(k * n for k, n in got.items()), max(s for s in sums if s <= budget)
-        assert reached <= budget and best - reached <= max(counts)  # the even share comes first
+        assert all(0 < n <= counts[k] for k, n in got.items())
+        assert sum(k * n for k, n in got.items()) == best_sum(counts, budget), (counts, budget)
+
+
+def test_fit_budget_beyond_its_reach(monkeypatch):
+    """Large budgets are met by even shares and a program over what is left; with every size present the sum is met exactly."""
+    rng = random.Random(8)
+    counts = {k: rng.randint(1, 400) for k in range(1, 900)}
+    budget = sum(k * n for k, n in counts.items()) * 3 // 7
+    got = mixing.fit_budget(counts, budget)
+    assert sum(k * n for k, n in got.items()) == budget > mixing.REACH
+    assert all(abs(got.get(k, 0) / n - 3 / 7) < 0.2 for k, n in counts.items() if n > 200)
+    monkeypatch.setattr(mixing, "REACH", 100)
+    monkeypatch.setattr(mixing, "SUMS", 64)
+    for _ in range(50):
+        counts = {rng.randint(50, 4000): rng.randint(1, 3) for _ in range(12)}
+        budget = rng.randint(1, sum(k * n for k, n in counts.items()))
+        got = mixing.fit_budget(counts, budget)
+        reached = sum(k * n for k, n in got.items())
+        assert all(n <= counts[k] for k, n in got.items()) and reached <= budget and budget - reached <= max(counts)
+
+
+def test_hot_size_over_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 8)
+    df = spark.range(3000).selectExpr("if(id % 7 = 0, null, id) AS doc_id", "concat('w', id) AS text", "'en' AS lang", "if(id < 2000, 's', 't') AS source", "4L AS n_chars")
+    rows = mixing.mix(df).collect()
+    taken = Counter()
+    for r in rows:
+        taken[r["source"]] += r["copies"]
+    assert len(rows) == 3000 and {s: taken[s] for s in "st"} == {r["source"]: round(r["target"]) for r in rows}
 
 
 def test_mix(spark):
