@@ -195,17 +195,18 @@ def pack(cut: DataFrame, capacity: int = 2048, salts: int = 256) -> DataFrame:
     salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     by_salt = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     # At most capacity x salts rows, whatever the data.
-    table = by_salt.toPandas().sort_values(["length", "_salt"])
-    counts = table.groupby("length")["_n"].sum()
-    table["_before"] = table.groupby("length")["_n"].cumsum() - table["_n"]
-    plan = plan_runs({int(k): int(v) for k, v in counts.items()}, capacity)
+    table = by_salt.toArrow()
+    number = np.zeros((capacity + 1, salts), np.int64)
+    number[table.column("length").to_numpy(), table.column("_salt").to_numpy()] = table.column("_n").to_numpy()
+    before = np.cumsum(number, axis=1) - number
+    counts = {int(k): int(number[k].sum()) for k in np.flatnonzero(number.any(axis=1))}
+    plan = plan_runs(counts, capacity)
     by_length: dict[int, list[tuple]] = {}
     for row in plan:
         by_length.setdefault(row[0], []).append(row[1:])
     starts = {k: np.array([r[0] for r in v]) for k, v in by_length.items()}
     runs = {k: np.array(v, dtype=np.int64) for k, v in by_length.items()}
-    before = {(int(a), int(b)): int(c) for a, b, c in zip(table["length"], table["_salt"], table["_before"])}
-    held = spark.sparkContext.broadcast((before, starts, runs))
+    held = spark.sparkContext.broadcast((before, starts, runs))  # one number for each length and salt, and the plan
 
     rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("_rank", rank)
@@ -217,7 +218,7 @@ def pack(cut: DataFrame, capacity: int = 2048, salts: int = 256) -> DataFrame:
         for batch in batches:
             length = batch.column("length").to_numpy()
             salt, rank = batch.column("_salt").to_numpy(), batch.column("_rank").to_numpy().astype(np.int64)
-            rank = rank + np.array([before[x] for x in zip(length.tolist(), salt.tolist())], dtype=np.int64)
+            rank = rank + before[length, salt]
             sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             for size in np.unique(length):
                 at = np.flatnonzero(length == size)
