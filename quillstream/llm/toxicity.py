@@ -5,12 +5,17 @@ labels tell apart is fitted so that it (1) follows the labels and (2) scores a t
 which every identity term is swapped for another of its group. The second term takes weight from neutral mentions of
 groups that toxic texts happen to name more often.
 
+Identity terms are a list of group names, and terms induced from the labelled texts, in whatever language they are: words that at least ``share``
+of both classes hold, neither class more than ``ratio`` times as often, are names and topics that both kinds of text
+mention; those of like frequency form groups to swap within.
+
 The model is fitted on the driver over at most ``positives`` and ``negatives`` labelled documents (documented bound; a
-seeded hash of doc_id chooses them), every document is scored.
+seeded hash of doc_id chooses them), every document is scored. The executors reduce those texts to their different words, so what
+reaches the driver does not grow with the length of a text.
 
 Nulls: null and empty texts get the score of a text without features; rows with a null doc_id are scored too. Labels
 that are null or not 0 or 1 are not used, nor are those of unknown documents; a doc_id with several labels counts as toxic if one of them
-says so. Without labels of both classes the model gives every text the score 0. Repeated rows get equal scores, as the score
+says so, and if it has several texts the least counts. Without labels of both classes the model gives every text the score 0. Repeated rows get equal scores, as the score
 depends on the text alone. Further columns of the input pass through ``score`` untouched.
 """
 
@@ -63,6 +68,9 @@ def swap_identity(text: str | None, groups: tuple[tuple[str, ...], ...] = IDENTI
 class ToxicityModel:
     bias: float = -30.0
     weights: dict[str, float] = field(default_factory=dict)
+    #: Of the fit: labelled texts that hold an identity term, and the mean absolute change of their scores under the swap.
+    touched: int = 0
+    change: float = 0.0
 
     def score_text(self, text: str | None) -> float:
         if not self.weights:
@@ -103,11 +111,26 @@ def select_features(texts: list[str | None], y: np.ndarray, limit: int, always:
     return [f for _, f in sorted(scored, key=lambda x: (-x[0], x[1]))[:limit]]
 
 
-def fit(texts: list[str | None], toxic: list[int], groups=IDENTITY_TERMS, counterfactual: float = 10.0, ridge: float = 1e-4, limit: int = 6000, rounds: int = 300) -> ToxicityModel:
+def induced_terms(texts: list[str | None], y: np.ndarray, share: float = 0.02, ratio: float = 1.5, size: int = 4, most: int = 400) -> tuple[tuple[str, ...], ...]:
+    """Groups of words that toxic and clean texts hold about as often. Digits are no names."""
+    seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+    for t, toxic in zip(texts, y):
+        seen[int(toxic)].update(set(WORD.findall((t or "").lower())))
+    n0, n1 = max(1, int((1 - y).sum())), max(1, int(y.sum()))
+    shares = {w: (seen[0][w] / n0, n / n1) for w, n in seen[1].items() if len(w) >= 3 and w.isalpha()}
+    even = [w for w, (p, q) in shares.items() if min(p, q) >= share and max(p, q) <= ratio * min(p, q)]
+    even = sorted(even, key=lambda w: (-sum(shares[w]), w))[:most]
+    return tuple(tuple(even[k : k + size]) for k in range(0, len(even) - 1, size))
+
+
+def fit(texts: list[str | None], toxic: list[int], groups=IDENTITY_TERMS, induce: bool = True, counterfactual: float = 10.0, ridge: float = 1e-4, limit: int = 6000, rounds: int = 300) -> ToxicityModel:
     """Fit on labelled texts. counterfactual: weight of the mean squared change of the logit under the swap of identity terms."""
     y = np.asarray(toxic, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel()
+    if induce:
+        named = {t for g in groups for t in g}
+        groups = (*groups, *(g for g in (tuple(t for t in some if t not in named) for some in induced_terms(texts, y)) if len(g) > 1))
     terms = {t for g in groups for t in g}
     always = terms | {"^" + t[:n] for t in terms for n in LEADING if len(t) >= n}
     names = select_features(texts, y, limit, always)
@@ -136,7 +159,11 @@ def fit(texts: list[str | None], toxic: list[int], groups=IDENTITY_TERMS, counte
         u, d = 1 - 0.9**step, 1 - 0.99**step
         w -= 0.1 * (m / u) / (np.sqrt(v / d) + 1e-8)
         b -= 0.1 * (mb / u) / (np.sqrt(vb / d) + 1e-8)
-    return ToxicityModel(float(b), {f: float(x) for f, x in zip(names, w) if abs(x) > 1e-4})
+    model = ToxicityModel(float(b), {f: float(x) for f, x in zip(names, w) if abs(x) > 1e-4}, len(touched))
+    if touched:
+        scores = (1 / (1 + np.exp(-np.clip(b + np.bincount(rows, w[cols], len(touched)), -30, 30))) for rows, cols in (own, swapped))
+        model.change = float(np.abs(next(scores) - next(scores)).mean())
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = 2500, negatives: int = 5000, seed: int = 11, **params) -> ToxicityModel:
@@ -145,9 +172,16 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2500, negatives:
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
     part = lambda t, n: known.where(F.col("toxic") == t).orderBy("_h", "doc_id").limit(n)
     sample = part(1, positives).unionByName(part(0, negatives)).select("doc_id", "toxic")
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most positives + negatives rows
-    found = sorted(rows.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["text"] or ""))
-    return fit([r["text"] for r in found], [r["toxic"] for r in found], **params)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most positives + negatives doc_ids
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [" ".join(sorted(set(WORD.findall((x.as_py() or "").lower())))) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string()), batch.column(2)], names=["doc_id", "words", "toxic"])
+
+    schema = rows.selectExpr("doc_id", "text AS words", "toxic").schema
+    found = rows.mapInArrow(words, schema).groupBy("doc_id").agg(F.min("words").alias("words"), F.max("toxic").alias("toxic")).orderBy("doc_id").toArrow().to_pylist()
+    return fit([r["words"] for r in found], [r["toxic"] for r in found], **params)
 
 
 def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:

@@ -177,6 +177,22 @@ def test_counterfactual_term_lowers_false_positives():
     assert min(regular.score_text(text("scum")) for _ in range(20)) > 0.5
 
 
+def test_terms_are_induced_from_the_labels():
+    """A name in any language that both classes mention is found without a list, and its swap hardly moves the score."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(60)]
+    names = ["ñandes", "éluards", "zoltans", "quechs"]
+    text = lambda *extra: " ".join([*rng.choices(words, k=8), *extra])
+    bad = [text(rng.choice(["scum", "vermin"]), names[0] if k % 3 else names[k % 4]) for k in range(150)]
+    good = [text(names[k % 4] if k % 2 else names[0]) for k in range(450)]
+    y = np.array([1] * 150 + [0] * 450)
+    groups = toxicity.induced_terms(bad + good, y, ratio=2.0)
+    assert {t for g in groups for t in g} >= set(names[:1])
+    fit = lambda **p: toxicity.fit(bad + good, y.tolist(), groups=(), **p)
+    on, off = fit(), fit(counterfactual=0.0)
+    assert on.touched > 400 and on.change < off.change / 2 and min(on.score_text(text("scum")) for _ in range(20)) > 0.5
+
+
 def test_toxicity_edges(spark):
     docs = edge(spark)
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
