@@ -1,10 +1,15 @@
 """Main text of web pages by tag-path ratios.
 
-A page's text nodes are grouped by their root-to-leaf tag path. Per path, two ratios are taken: text length per node and punctuation per
-node; both are smoothed over neighbouring paths in page order, fused into one score, and paths whose score passes a threshold
-relative to the page's spread are content. What a page marks is heeded: text under menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles or reader comments (by element, role, id or class) never counts, and if a page
-has an article or main element with text, the paths outside it score nothing and those inside it all pass, as short paragraphs and titles belong to the article.
+A page's text nodes are grouped by their root-to-leaf tag path and the kind of region they stand in: the outermost article or main element
+around them, or else the nearest container such as a div or section. Per path, text length per node and punctuation per
+100 characters are taken, smoothed over neighbouring paths of like regions in page order and multiplied; to that comes the mean text length of its regions, so that titles, short
+paragraphs and lists share the weight of the text they belong to. Paths outside article and main elements count a quarter where
+a page has such elements. Paths whose score reaches a fifth of the page's greatest are content. The factor for punctuation lies between 1
+and 3, so all text of the region that holds the greatest score passes, however short its parts are.
+
+What a page marks as no main text is heeded before: text under menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
+reader comments (by element, role, id or class) never counts (``marks=False`` leaves all but scripts, styles and the like to the ratios).
+Ties: paths of equal scores pass or fail together.
 
 Blocks are runs of text between block-level tags; character references are decoded, white space inside a block becomes one space,
 empty blocks go, and blocks are joined in page order by one line end.
@@ -34,7 +39,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 HIDDEN = frozenset("head script style noscript template title textarea iframe object svg math canvas audio video select option button input form nav aside header footer menu dialog".split())
+SILENT = HIDDEN - frozenset("form nav aside header footer menu dialog".split())
 CONTENT = frozenset("article main".split())
+#: Elements that hold a region's text without being a region of their own, besides the inline ones.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockquote pre figure figcaption table caption colgroup thead tbody tfoot tr td th details summary address center hr".split())
+#: Factor of paths outside article and main elements, greatest factor for punctuation less 1, share of the greatest score that a content path reaches.
+OUTSIDE, PUNCTUATED, LEAST = 0.25, 2.0, 0.2
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Words in class, id or role that mark boilerplate.
 BOILERPLATE = frozenset(
@@ -60,18 +70,20 @@ def marked(attributes: str) -> int:
     return out
 
 
-def nodes(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, int, str]]:
-    """path, whether it is hidden, whether an article or main element holds it, block number, decoded text, in page order."""
-    stack: list[tuple[str, int, bool]] = []  # element, hidden, inside content
-    block, at, size = 0, 0, len(page)
+Node = tuple[tuple[tuple[str, ...], bool, int], bool, int, int, str]
+
+
+def nodes(page: str, marks: bool = True) -> Iterator[Node]:
+    """key (path, whether an article or main element holds it, depth of its region), whether it is hidden, region number, block number and decoded
+    text, in page order."""
+    stack: list[tuple[str, int, bool, tuple[int, int]]] = []  # element, hidden, inside content, region (depth, number)
+    block, at, size, number = 0, 0, len(page), 0
 
     def emit(raw: str):
-        if raw and not raw.isspace():
-            hidden, inside = (stack[-1][1] > 0, stack[-1][2]) if stack else (False, False)
-            yield tuple(s[0] for s in stack), hidden, inside, block, html.unescape(raw)
-        elif raw:
-            hidden, inside = (stack[-1][1] > 0, stack[-1][2]) if stack else (False, False)
-            yield tuple(s[0] for s in stack), hidden, inside, block, " "
+        _, hidden, inside, region = stack[-1] if stack else ("", 0, False, (0, 0))
+        if raw:
+            text = " " if raw.isspace() else html.unescape(raw)
+            yield (tuple(s[0] for s in stack), inside, region[0]), hidden > 0, region[1], block, text
 
     while at < size:
         m = TOKEN.search(page, at)
@@ -87,7 +99,7 @@ def nodes(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, int, str]]:
             return  # a tag cut off at the end
         name = m[2].lower()
         if name == "br":
-            yield tuple(s[0] for s in stack), bool(stack) and stack[-1][1] > 0, bool(stack) and stack[-1][2], block, " "
+            yield from emit(" ")
         if name not in INLINE:
             block += 1
         if m[1]:
@@ -118,13 +130,17 @@ def nodes(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, int, str]]:
             stack.pop()
         # 3: by its element, 2: by a name that marks comments, 1: by another name; a main element or an article within the last is content again.
         above = stack[-1][1] if stack else 0
-        own = marked(m[3]) if m[3] and name not in ("html", "body") else 0
-        if name in HIDDEN and not (name == "header" and any(s[0] in CONTENT for s in stack)):
+        own = marked(m[3]) if marks and m[3] and name not in ("html", "body") else 0
+        if name in (HIDDEN if marks else SILENT) and not (name == "header" and any(s[0] in CONTENT for s in stack)):
             own = 3
         if name in CONTENT:
             own = own if own == 2 else 0
             above = 0 if above == 1 or name == "main" and above == 2 else above
-        stack.append((name, max(above, own), bool(stack) and stack[-1][2] or name in CONTENT))
+        inside, region = (stack[-1][2], stack[-1][3]) if stack else (False, (0, 0))
+        if name in CONTENT and not inside or not inside and name not in INLINE and name not in FLOW:
+            number += 1
+            region = (len(stack) + 1, number)
+        stack.append((name, max(above, own), inside or name in CONTENT, region))
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             if end is None:
@@ -132,43 +148,49 @@ def nodes(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, int, str]]:
             at = end.start()
 
 
-def smooth(x: np.ndarray) -> np.ndarray:
-    """Each value with half the weight on its two neighbours; the ends repeat."""
-    padded = np.concatenate([x[:1], x, x[-1:]])
-    return 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
+def smooth(x: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Each value with half the weight on its two neighbours; where one is missing or of another kind, the value stands for it."""
+    same = np.concatenate([[False], kind[1:] == kind[:-1], [False]])
+    before = np.where(same[:-1], np.roll(x, 1), x)
+    after = np.where(same[1:], np.roll(x, -1), x)
+    return 0.25 * before + 0.5 * x + 0.25 * after
 
 
-def content_paths(found: list[tuple[tuple[str, ...], bool, bool, int, str]], spread: float = 0.5) -> set[tuple[tuple[str, ...], bool, bool]]:
-    """The (path, hidden, inside) keys that hold content."""
+def content_paths(found: list[Node], least: float = LEAST) -> set[tuple[tuple[str, ...], bool, int]]:
+    """The keys of the paths that hold content."""
     stats: dict[tuple, list[float]] = {}
-    for path, hidden, inside, _, text in found:
-        if hidden:
-            continue
-        n = len(text.strip())
+    regions: dict[tuple, set[int]] = {}
+    sizes: dict[int, int] = {}
+    for key, hidden, region, _, text in found:
+        n = 0 if hidden else len(text.strip())
         if n:
-            s = stats.setdefault((path, hidden, inside), [0, 0, 0])
+            s = stats.setdefault(key, [0, 0, 0])
             s[0] += n
             s[1] += len(PUNCTUATION.findall(text))
             s[2] += 1
+            regions.setdefault(key, set()).add(region)
+            sizes[region] = sizes.get(region, 0) + n
     if not stats:
         return set()
     keys = list(stats)
     a = np.array([stats[k] for k in keys], dtype=float)
-    score = smooth(a[:, 0] / a[:, 2]) * (1 + smooth(a[:, 1] / a[:, 2]))
-    inside = np.array([k[2] for k in keys])
+    marks = np.minimum(PUNCTUATED, 100 * a[:, 1] / a[:, 0])
+    around = np.array([sum(sizes[r] for r in regions[k]) / len(regions[k]) for k in keys])
+    kind = np.array([2 * k[2] + k[1] for k in keys])
+    score = smooth(a[:, 0] / a[:, 2], kind) * (1 + smooth(marks, kind)) + around
+    inside = np.array([k[1] for k in keys])
     if inside.any():
-        return {k for k, x in zip(keys, np.where(inside, score, 0.0)) if x > 0}
-    least = spread * score.std() if len(score) > 1 else 0.0
-    return {k for k, x in zip(keys, score) if x >= least}
+        score = np.where(inside, score, OUTSIDE * score)
+    return {k for k, x in zip(keys, score) if x >= least * score.max()}
 
 
-def main_text(page: str | None) -> str:
-    found = list(nodes(page or ""))
+def main_text(page: str | None, marks: bool = True) -> str:
+    found = list(nodes(page or "", marks))
     keep = content_paths(found)
     # A node of white space alone has no path of its own; it parts the words around it.
     blocks: dict[int, list[str]] = {}
-    for path, hidden, inside, block, text in found:
-        if not hidden and ((path, hidden, inside) in keep or text == " "):
+    for key, hidden, _, block, text in found:
+        if not hidden and (key in keep or text == " "):
             blocks.setdefault(block, []).append(text)
     out = (SPACE.sub(" ", "".join(parts)).strip() for _, parts in sorted(blocks.items()))
     return "\n".join(b for b in out if b)
