@@ -6,8 +6,11 @@ pairs in the order of their summed squared distance with a heap until the cells
 
 Centroids are fitted on a bounded sample (``sample`` vectors by seeded hash, a documented parameter); every vector is indexed. Only
 cell counts (at most ``centroids`` squared) and centroids are broadcast. Vectors of a first-half centroid are cut
-into parts by hash, so a hot cell is spread; queries go in chunks to the parts whose cells they walk, and each part answers
-with at most ``k`` rows per query. No pair of query and vector becomes a row.
+into blocks of about ``part`` by hash, so a hot cell is spread. Vectors are shuffled once and never copied: a query goes to the blocks whose cells it walks, a
+task holds one block at a time and streams its queries past it, a few at a time, and each block answers with at most ``k``
+rows per query. No pair of query and vector becomes a row.
+
+``share`` sets recall against work. Where neighbours cluster, few cells hold them; vectors without structure need many.
 
 Nulls: vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part, nor
 do rows with a null id. Ties in the score go to the smaller id. Rows that repeat an id count once in a result, with the best of their scores,
@@ -21,7 +24,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,7 +84,7 @@ def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
 
 def search(
     vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", column: str = "embedding",
-    centroids: int = 64, sample: int = 16_384, share: float = 0.5, least: int = 2_000, part: int = 8_192, chunk: int = 4_096,
+    centroids: int = 128, sample: int = 16_384, share: float = 0.35, least: int = 2_000, part: int = 16_384,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query. is_query: a condition on ``id``."""
     result = "query_id long, rank int, vec_id long, score double"
@@ -122,7 +124,6 @@ def search(
     parts = np.maximum(1, -(-by_first // part))
     held = spark.sparkContext.broadcast((counts, parts))
     asked = rows.where(is_query).dropDuplicates(["id"])
-    chunks = max(1, -(-asked.count() // chunk))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = tables.value
@@ -138,55 +139,91 @@ def search(
                     data, which = raw.tobytes(), cells // len(two)
                     for i in np.unique(which).tolist():
                         mine = cells[which == i].tobytes()
-                        out += [(i * 1_000_003 + p, id_ % chunks, id_, data, mine) for p in range(int(parts[i]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "chunk", "query_id", "raw", "cells"])
+                        out += [(i * 1_000_003 + p, 1, id_, data, None, mine) for p in range(int(parts[i]))]
+                        if len(out) >= 20_000:  # a query may visit many blocks
+                            yield rows_of(out)
+                            out = []
+                if out:
+                    yield rows_of(out)
+
+    kinds = {"block": pa.int64(), "asks": pa.int32(), "id": pa.int64(), "raw": pa.binary(), "cell": pa.int32(), "cells": pa.binary()}
 
-    questions = asked.mapInArrow(visit, "block long, chunk long, query_id long, raw binary, cells binary")
+    def rows_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds.values())], names=list(kinds))
+
+    questions = asked.mapInArrow(visit, "block long, asks int, id long, raw binary, cell int, cells binary")
     cuts = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), (F.col("cell") / width).cast("int") + 1)
     block = (F.col("cell") / width).cast("int").cast("long") * 1_000_003 + F.pmod(F.xxhash64("id"), cuts)
-    stored = indexed.withColumn("block", block).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-
-    def rank(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if queries.empty or data.empty:
-            return empty
-        data = data.sort_values(["cell", "id"], kind="stable")
-        v = np.frombuffer(b"".join(data["raw"]), np.float64).reshape(len(data), -1)
-        q = np.frombuffer(b"".join(queries["raw"]), np.float64).reshape(len(queries), -1)
-        v_norm, q_norm = np.sqrt((v**2).sum(1)), np.sqrt((q**2).sum(1))
-        ids, q_ids = data["id"].to_numpy(), queries["query_id"].to_numpy()
-        cells = [np.frombuffer(c, np.int32) for c in queries["cells"]]
-        who = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
-        which = np.concatenate(cells)
+    stored = indexed.select(block.alias("block"), F.lit(0).alias("asks"), "id", "raw", "cell", F.lit(None).cast("binary").alias("cells"))
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+
+    def held_block(stored: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+        """ids, vectors and norms by cell and id, the cells, and where each begins and ends."""
+        data = pa.Table.from_batches(stored).combine_chunks()
+        ids, cell, v = data.column("id").to_numpy(), data.column("cell").to_numpy(), matrix(data.column("raw"))
+        order = np.lexsort((ids, cell))
+        at, first, n = np.unique(cell[order], return_index=True, return_counts=True)
+        return ids[order], v[order], np.sqrt((v[order] ** 2).sum(1)), at, first, first + n
+
+    def ranked(index: tuple[np.ndarray, ...], asked: pa.RecordBatch) -> pa.RecordBatch:
+        ids, v, v_norm, at, first, last = index
+        q, q_ids = matrix(asked.column("raw")), asked.column("id").to_numpy()
+        q_norm = np.sqrt((q**2).sum(1))
+        cells = [np.frombuffer(c, np.int32) for c in asked.column("cells").to_pylist()]
+        who, which = np.repeat(np.arange(len(cells)), [len(c) for c in cells]), np.concatenate(cells)
         order = np.argsort(which, kind="stable")
         who, which = who[order], which[order]
-        at, first, n = np.unique(data["cell"].to_numpy(), return_index=True, return_counts=True)
         low, high = np.searchsorted(which, at), np.searchsorted(which, at, side="right")
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for c in range(len(at)):
-            sel = who[low[c] : high[c]]
-            if not len(sel):
-                continue
-            a, b = first[c], first[c] + n[c]
+        for c in np.flatnonzero(high > low).tolist():
+            sel, a, b = who[low[c] : high[c]], first[c], last[c]
             s = np.einsum("id,jd->ij", q[sel], v[a:b]) / (q_norm[sel][:, None] * v_norm[a:b][None, :])
             s[q_ids[sel][:, None] == ids[a:b][None, :]] = -np.inf
             # All up to the first k different ids: repeated rows of an id lie side by side, as ids are sorted.
             twin = np.zeros(b - a, bool)
             twin[1:] = ids[a + 1 : b] == ids[a : b - 1]
+            own = ids[a:b]
             if twin.any():
                 starts = np.flatnonzero(~twin)
-                s, own = np.maximum.reduceat(s, starts, axis=1), ids[a:b][starts]
-            else:
-                own = ids[a:b]
+                s, own = np.maximum.reduceat(s, starts, axis=1), own[starts]
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            found.append((np.repeat(q_ids[sel], top.shape[1]), own[top].ravel(), np.take_along_axis(s, top, 1).ravel()))
-        if not found:
-            return empty
-        out = pd.DataFrame({n: np.concatenate([f[j] for f in found]) for j, n in enumerate(("query_id", "vec_id", "score"))})
-        out = out[out["score"] > -np.inf].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
-        return out.groupby("query_id").head(k)
-
-    near = questions.groupBy("block", "chunk").cogroup(stored.groupBy("block", "chunk")).applyInPandas(rank, "query_id long, vec_id long, score double")
+            found.append((np.repeat(sel, top.shape[1]), own[top].ravel(), np.take_along_axis(s, top, 1).ravel()))
+        row, near, score = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        order = np.lexsort((near, -score, row))
+        order = order[score[order] > -np.inf]
+        row, near, score = row[order], near[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < k  # an id lies in one cell only, unless its rows differ; the rest of its rows are dropped by Spark
+        pairs = np.lexsort((near, row))
+        if ((np.diff(row[pairs]) == 0) & (np.diff(near[pairs]) == 0)).any():
+            keep[:] = True
+        return pa.RecordBatch.from_arrays([pa.array(q_ids[row[keep]]), pa.array(near[keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stored, index = None, [], None
+        for batch in batches:
+            block, asks = batch.column("block").to_numpy(), batch.column("asks").to_numpy()
+            cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(asks) != 0)) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)]):
+                if low == high:
+                    continue
+                if block[low] != now:
+                    now, stored, index = block[low], [], None
+                some = batch.slice(low, high - low)
+                if not asks[low]:
+                    stored.append(some)
+                    continue
+                if index is None:
+                    if not stored:
+                        continue
+                    index, stored = held_block(stored), []
+                for at in range(0, some.num_rows, 256):
+                    yield ranked(index, some.slice(at, 256))
+
+    met = stored.unionByName(questions).repartition("block").sortWithinPartitions("block", "asks")
+    near = met.mapInArrow(answer, "query_id long, vec_id long, score double")
     best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", place).where(f"rank <= {int(k)}").select("query_id", "rank", "vec_id", "score")
