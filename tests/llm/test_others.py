@@ -41,6 +41,17 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_ratios_decide_where_elements_do_not():
+    """Thin articles beside a long unmarked text lose to it; pages without any such element, and with the marks ignored, keep their text alone."""
+    long = "".join(f"<p>Paragraph {k} goes on, with many words and marks; it does so for a while, until it ends.</p>" for k in range(12))
+    want = "\n".join(f"Paragraph {k} goes on, with many words and marks; it does so for a while, until it ends." for k in range(12))
+    cards = "".join(f"<article><h2>Card {k}</h2><p>Read it.</p></article>" for k in range(4))
+    assert html_text.main_text(f"<body><div>{cards}</div><div>{long}</div></body>") == want
+    assert html_text.main_text(f"<body><div>{cards}</div><main><h1>T</h1>{long}<ul><li>x<li>y</ul></main></body>") == f"T\n{want}\nx\ny"
+    page = f"<body>{MENU}<div><h1>T</h1>{long}</div><div class='ad'>Buy now, cheap.</div><footer>Us, 2020</footer></body>"
+    assert html_text.main_text(page) == html_text.main_text(page, marks=False) == f"T\n{want}"
+
+
 def test_pages_query(spark, sf):
     rows = queries.op4_html_text(spark, sf).collect()
     html = {r["page_id"]: r["html"] for r in queries.read(spark, sf, "pages").collect()}
@@ -118,7 +129,7 @@ def test_hot_cells_are_parted(spark):
     rows = [(k, [1.0, 2.0, 3.0, 4.0]) for k in range(300)] + [(300 + k, rng.normal(size=4).tolist()) for k in range(200)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
-    for r in neighbours.search(df, F.col("id") % 50 == 0, centroids=4, part=32, chunk=3, share=1.0).collect():
+    for r in neighbours.search(df, F.col("id") % 50 == 0, centroids=4, part=32, share=1.0).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
     plain = [(r["vec_id"], r["embedding"]) for r in df.collect()]
     want = brute_neighbours(plain, lambda x: x % 50 == 0)
@@ -178,11 +189,18 @@ def test_fold_at_random(spark):
     assert {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in rows} == fold_plain(events)
 
 
-def test_chat_query_equals_its_sql(spark, sf):
+def test_chat_query_equals_its_sql_on_odd_turns(spark, tmp_path):
+    rows = [(5, 0, "user", "a\\b\\"), (5, 1, "assistant", "x\\|<|y\n\\n"), (5, 1, "assistant", "x\\|<|y\n\\n"), (5, 1, "assistant", "other"), (5, 2, "assist\\ant\n", None), (6, None, "user", "q")]
+    rows += [(7, k, "assistant", "é" * k) for k in range(6)] + [(None, 0, None, "<|im_end|>\n")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    test_chat_query_equals_its_sql(spark, tmp_path, "/*.parquet")
+
+
+def test_chat_query_equals_its_sql(spark, sf, inside=""):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet{inside}'")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     want = con.sql(f"SELECT {', '.join(names)} FROM ({queries.OP7_SQL})").fetchall()
     assert Counter(want) == Counter(tuple(r) for r in queries.op7_chat(spark, sf).select(*names).collect())
