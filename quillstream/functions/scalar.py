@@ -89,10 +89,14 @@ def is_missing(value: Column, kind: str = "scalar") -> Column:
     return value.isNull()
 
 
-#: Headings that are no sentences, and phrases of refusals.
-STOP_HEADINGS = ("table of contents", "contents", "introduction", "conclusion", "references", "abstract", "summary", "appendix", "index", "overview")
+#: Headings that are no sentences, marks of list items, ends of sentences, and phrases of refusals.
+STOP_HEADINGS = (
+    "abstract", "introduction", "conclusion", "references", "table of contents", "acknowledgements", "appendix", "chapter", "figure", "table", "section", "page", "isbn", "doi",
+)
+BULLETS = ("•", "○", "→", "▪", "*", "-", "–", "—")
+ENDINGS = (".", "!", "?", '."', ".”", "…", '"', "'")
 REFUSALS = (
-    "i'm sorry", "i am sorry", "i cannot", "i can't", "i am unable", "i'm unable", "as an ai", "cannot assist", "can't assist", "not able to", "against my",
+    "i can't", "i cannot", "i’m unable", "i am unable", "i won't", "sorry", "as an ai", "cannot assist", "can't help", "not allowed", "against the rules",
 )
 
 
@@ -100,17 +104,18 @@ def is_valid_sentence(text: Column, trimmed: bool = False) -> Column:
     """Ordered rules of what counts as a sentence. trimmed: the text has no white space at its ends."""
     t = text if trimmed else strip(text)
     words = F.size(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""))
-    ends = t.rlike(r"[.!?]$")
+    starts_with = lambda marks: reduce(lambda a, b: a | b, (t.startswith(m) for m in marks))
+    ends_with = lambda marks: reduce(lambda a, b: a | b, (t.endswith(m) for m in marks))
     return (
         F.when(text.isNull() | (F.length(t) <= 2), False)
-        .when(F.length(t) <= 6, t.rlike(r"[.!?]"))
+        .when(F.length(t) <= 6, ends_with(ENDINGS[:3]))
         .when((words == 1) & (F.length(t) > 40), False)
         .when((F.upper(t) == t) & (F.lower(t) != t) & (F.length(t) < 60), False)
         .when(F.lower(t).isin(*STOP_HEADINGS), False)
-        .when(t.rlike(r"^[-*\x{2022}]") & (words <= 5), False)
+        .when(starts_with(BULLETS) & (words <= 5), False)
         .when(t.rlike(r"[-_=]{4}"), False)
         .when(t.rlike(r"[^\p{L}\p{N}_]{6}"), False)
-        .when(ends, True)
+        .when(ends_with(ENDINGS), True)
         .otherwise(t.rlike(r"\p{L}") & t.contains(" "))
     )
 
@@ -133,7 +138,7 @@ def matches_content(text: Column, include: list[str], exclude: list[str], case_s
 
 
 def is_refusal(text: Column) -> Column:
-    held = F.lower(text)
+    held = F.lower(F.coalesce(text, F.lit("")))
     return reduce(lambda a, b: a | b, (held.contains(p) for p in REFUSALS))
 
 
@@ -274,8 +279,10 @@ def overlap_length(before: Column, after: Column, longest: int = 40, shortest: i
 
 
 def stitch(before: Column, after: Column) -> Column:
+    """Both texts without what they share where they meet, else with a space between; an empty or null side leaves the other."""
     n = overlap_length(before, after)
-    return F.when(n > 0, F.concat(before, after.substr(n + 1, F.length(after)))).otherwise(F.concat_ws(" ", before, after))
+    empty = lambda t: F.coalesce(t, F.lit("")) == ""
+    return F.when(empty(before), after).when(empty(after), before).when(n > 0, F.concat(before, after.substr(n + 1, F.length(after)))).otherwise(F.concat_ws(" ", before, after))
 
 
 def common_prefix(a: Column, b: Column) -> Column:

@@ -161,13 +161,13 @@ def character_error_rate(reference: Column, prediction: Column) -> Column:
 def word_error_rate(reference: Column, prediction: Column) -> Column:
     """Words become single characters by their place in the two texts' vocabulary, so the built-in edit distance counts words.
 
-    Each step hands its result on as a struct field, so that it is worked out once and not for every word. The two texts may hold 40,000
-    different words."""
+    Each step hands its result on as a struct field, so that it is worked out once and not for every word. The two texts may hold a
+    million different words; the places that UTF-16 keeps for surrogates are left out."""
     split = lambda t: F.filter(F.split(t, r"[ \t\r\n\f]+"), lambda w: w != "")
     once = lambda c, then: F.element_at(F.transform(F.array(c), then), 1)
 
     def spelled(ws: Column, places: Column) -> Column:
-        return F.array_join(F.transform(ws, lambda w: code_point(F.lit(0x4E00) + F.element_at(places, w))), "")
+        return F.array_join(F.transform(ws, lambda w: code_point(word_place(F.element_at(places, w)))), "")
 
     def rate(s: Column) -> Column:
         return F.when(F.size(s["a"]) > 0, F.levenshtein(spelled(s["a"], s["p"]), spelled(s["b"], s["p"])) / F.size(s["a"]))
@@ -180,11 +180,29 @@ def word_error_rate(reference: Column, prediction: Column) -> Column:
     return once(start, lambda s: once(named(s), lambda t: once(placed(t), rate)))
 
 
+def word_place(k: Column) -> Column:
+    """A code point for the k-th word: from 0x4E00 on, without 0xD800 to 0xDFFF."""
+    n = k + 0x4E00
+    return F.when(n < 0xD800, n).otherwise(n + 0x800)
+
+
 def code_point(n: Column) -> Column:
-    """The character of a code point from 0x800 to 0xFFFF, by its three UTF-8 bytes."""
+    """The character of a code point from 0x800 on, by its three or four UTF-8 bytes."""
     byte = lambda x: F.lpad(F.hex(x), 2, "0")
-    first, second, third = F.shiftright(n, 12) + 0xE0, F.shiftright(n, 6).bitwiseAND(63) + 0x80, n.bitwiseAND(63) + 0x80
-    return F.decode(F.unhex(F.concat(byte(first), byte(second), byte(third))), "UTF-8")
+    part = lambda bits: F.shiftright(n, bits).bitwiseAND(63) + 0x80
+    three = [F.shiftright(n, 12) + 0xE0, part(6), part(0)]
+    four = [F.shiftright(n, 18) + 0xF0, part(12), part(6), part(0)]
+    return F.decode(F.unhex(F.when(n < 0x10000, F.concat(*map(byte, three))).otherwise(F.concat(*map(byte, four)))), "UTF-8")
+
+
+def best_throughput(trials: DataFrame, key: list[str], size: str, items: str, seconds: str, memory: str, limit: float) -> DataFrame:
+    """The batch size of the greatest items per second of each key among trials within the memory limit; the lesser size wins ties, and 1 stands where no trial fits."""
+    rate = F.col(items) / F.col(seconds)
+    fits = (F.col(memory) <= limit) & (F.col(seconds) > 0)
+    best = F.max_by(F.struct(F.col(size).alias("s"), rate.alias("r")), F.when(fits, F.struct(rate, -F.col(size))))
+    any_fits = F.max(fits.cast("int")) == 1
+    chosen = trials.groupBy(*key).agg(F.when(any_fits, best).alias("b"))
+    return chosen.select(*key, F.coalesce(F.col("b.s").cast("long"), F.lit(1).cast("long")).alias("batch_size"), F.coalesce("b.r", F.lit(0.0)).alias("throughput"))
 
 
 def mean_valid(rows: DataFrame, value: str) -> DataFrame:

@@ -110,14 +110,20 @@ def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFram
 
 def interval_first_match(points: DataFrame, segments: DataFrame, key: Keys, at: str, start: str, end: str, num: str, width: int = 64) -> DataFrame:
     """For each point the first segment (by ``num``) that holds it, else 0. Both sides meet in buckets of the time line, so the join is
-    an equi-join and a long segment is spread over its buckets."""
-    cut = segments.select(*key, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(num).alias("_num"))
-    cut = cut.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor(F.col("_e") / width))))
-    marked = points.withColumn("_b", F.floor(F.col(at) / width))
-    names = points.columns
-    joined = marked.join(cut, [*key, "_b"], "left")
-    hit = F.when((F.col(at) >= F.col("_s")) & (F.col(at) <= F.col("_e")), F.col("_num"))
-    return joined.groupBy(*names).agg(F.coalesce(F.min(hit), F.lit(0)).alias("segment_num"))
+    an equi-join and a long segment is spread over its buckets. The segments of a bucket are one sorted array, so each point, repeated or not,
+    meets one row at most and points are never grouped."""
+    cut = segments.select(*key, F.struct(F.col(num).alias("n"), F.col(start).alias("s"), F.col(end).alias("e")).alias("_c"))
+    cut = cut.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_c.s") / width), F.floor(F.col("_c.e") / width))))
+    held = cut.groupBy(*key, "_b").agg(F.array_sort(F.collect_list("_c")).alias("_c"))
+    joined = points.withColumn("_b", F.floor(F.col(at) / width)).join(held, [*key, "_b"], "left")
+    hit = F.get(F.filter("_c", lambda x: (F.col(at) >= x["s"]) & (F.col(at) <= x["e"])), F.lit(0))
+    return joined.select(*points.columns, F.coalesce(hit["n"], F.lit(0)).alias("segment_num"))
+
+
+def batch_queue(rows: DataFrame, key: Keys, order: Keys, size: int) -> DataFrame:
+    """Rows in batches of up to ``size`` in order of arrival: adds batch (from 0) and slot (place in the batch, from 0)."""
+    at = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
+    return rows.withColumn("_at", at).withColumns({"batch": F.floor(F.col("_at") / size).cast("long"), "slot": (F.col("_at") % size).cast("int")}).drop("_at")
 
 
 def previous_row(rows: DataFrame, key: Keys, order: Keys, columns: Keys) -> DataFrame:

@@ -198,3 +198,25 @@ def stream_hotwords(spark: SparkSession, d: str) -> DataFrame:
 
     rows = file_stream(spark, d, "conversations", 1000).select("conv_id", F.col("turn").alias("idx"), S.words(F.col("text")).alias("tokens"))
     return drain(R.fold_stream(rows, ["conv_id"], ["idx"], R.decayed_words(), "idx int, rank int, word string, weight double"))
+
+
+@query("""SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 8 AS batch, CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 8 AS INTEGER) AS slot FROM events""")
+def batch_queue(spark: SparkSession, d: str) -> DataFrame:
+    return O.batch_queue(table(spark, d, "events", "user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], 8).select("user_id", "event_id", "batch", "slot")
+
+
+@query("""WITH t AS (SELECT l_suppkey, l_linenumber AS size, l_quantity / (l_extendedprice / 1000) AS rate FROM lineitem WHERE l_extendedprice <= 30000),
+b AS (SELECT l_suppkey, size, rate, row_number() OVER (PARTITION BY l_suppkey ORDER BY rate DESC, size) AS k FROM t)
+SELECT s_suppkey AS l_suppkey, CAST(coalesce(size, 1) AS BIGINT) AS batch_size, round(coalesce(rate, 0.0), 6) AS throughput FROM (SELECT DISTINCT l_suppkey AS s_suppkey FROM lineitem) LEFT JOIN b ON s_suppkey = l_suppkey AND k = 1""")
+def best_throughput(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as trials: the line number is the batch size, the quantity what was done, a thousandth of the price the time, the price the memory."""
+    t = table(spark, d, "lineitem", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice").withColumn("seconds", F.col("l_extendedprice") / 1000)
+    out = A.best_throughput(t, ["l_suppkey"], "l_linenumber", "l_quantity", "seconds", "l_extendedprice", 30000)
+    return out.select("l_suppkey", "batch_size", r6("throughput").alias("throughput"))
+
+
+@query("""SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 50""")
+def dataset_head(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources import files as IO
+
+    return IO.head(table(spark, d, "documents", "doc_id", "source"), 50, "doc_id")

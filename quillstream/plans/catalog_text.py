@@ -183,10 +183,10 @@ def sound_thresholds(spark: SparkSession, d: str) -> DataFrame:
 
 SENTENCES = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents), t AS (SELECT doc_id, regexp_replace(s, '^\s+|\s+$', '', 'g') AS t FROM l),
 w AS (SELECT doc_id, t, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) AS w FROM t),
-v AS (SELECT doc_id, t, CASE WHEN length(t) <= 2 THEN false WHEN length(t) <= 6 THEN regexp_matches(t, '[.!?]') WHEN w = 1 AND length(t) > 40 THEN false WHEN upper(t) = t AND lower(t) <> t AND length(t) < 60 THEN false
- WHEN lower(t) IN ({stop}) THEN false WHEN regexp_matches(t, '^[-*\x{{2022}}]') AND w <= 5 THEN false WHEN regexp_matches(t, '[-_=]{{4}}') THEN false WHEN regexp_matches(t, '[^\p{{L}}\p{{N}}_]{{6}}') THEN false
- WHEN regexp_matches(t, '[.!?]$') THEN true ELSE regexp_matches(t, '\p{{L}}') AND contains(t, ' ') END AS ok FROM w)
-SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE ok) AS valid FROM v GROUP BY doc_id""".format(stop=", ".join(f"'{h}'" for h in S.STOP_HEADINGS))
+v AS (SELECT doc_id, t, CASE WHEN length(t) <= 2 THEN false WHEN length(t) <= 6 THEN regexp_matches(t, '[.!?]$') WHEN w = 1 AND length(t) > 40 THEN false WHEN upper(t) = t AND lower(t) <> t AND length(t) < 60 THEN false
+ WHEN lower(t) IN ('abstract', 'introduction', 'conclusion', 'references', 'table of contents', 'acknowledgements', 'appendix', 'chapter', 'figure', 'table', 'section', 'page', 'isbn', 'doi') THEN false WHEN left(t, 1) IN ('•', '○', '→', '▪', '*', '-', '–', '—') AND w <= 5 THEN false WHEN regexp_matches(t, '[-_=]{4}') THEN false WHEN regexp_matches(t, '[^\p{L}\p{N}_]{6}') THEN false
+ WHEN right(t, 1) IN ('.', '!', '?', '…', '"', '''') OR right(t, 2) = '.”' THEN true ELSE regexp_matches(t, '\p{L}') AND contains(t, ' ') END AS ok FROM w)
+SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE ok) AS valid FROM v GROUP BY doc_id"""
 
 
 @query(SENTENCES)
@@ -201,7 +201,7 @@ def content_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").where(S.matches_content(F.col("text"), ["license", "the*."], ["@mail"])).select("doc_id")
 
 
-@query("SELECT conv_id, turn, " + " OR ".join("contains(lower(text), '" + p.replace("'", "''") + "')" for p in S.REFUSALS) + " AS is_refusal FROM conversations")
+@query("""SELECT conv_id, turn, regexp_matches(lower(coalesce(text, '')), 'i can''t|i cannot|i’m unable|i am unable|i won''t|sorry|as an ai|cannot assist|can''t help|not allowed|against the rules') AS is_refusal FROM conversations""")
 def refusal_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", S.is_refusal(F.col("text")).alias("is_refusal"))
 

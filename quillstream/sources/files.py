@@ -175,6 +175,26 @@ def save_results(results: DataFrame, path: str, wer: str = "wer", cer: str = "ce
     return metrics
 
 
+def save(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+    """Writes a table in the format that the path's suffix names (.json and .jsonl, .csv, .parquet, .orc; Parquet without one) and returns the path."""
+    suffix = path.rsplit("/", 1)[-1].rpartition(".")[2].lower() if "." in path.rsplit("/", 1)[-1] else "parquet"
+    writer = df.write.mode(mode)
+    if suffix in ("json", "jsonl"):
+        writer.json(path)
+    elif suffix == "csv":
+        writer.csv(path, header=True)
+    elif suffix in ("parquet", "orc"):
+        writer.format(suffix).save(path)
+    else:
+        raise ValueError(f"no format for .{suffix}")
+    return path
+
+
+def head(df: DataFrame, n: int, order: str | None = None) -> DataFrame:
+    """The first rows of a dataset, by a column where there is one, for ``save``."""
+    return (df.orderBy(order) if order else df).limit(n)
+
+
 def save_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -92,7 +92,7 @@ def test_new_text(spark):
     df = spark.createDataFrame([("今日は。元気。", "今日は！元気。はい。"), ("", "a b"), ("a", "a  b")], "a string, b string")
     got = [tuple(r) for r in df.select(S.new_text(F.col("a"), F.col("b")), S.new_sentences(F.col("a"), F.col("b"))).collect()]
     assert got == [("！元気。はい。", "はい。"), ("a b", "a b"), ("b", "a  b")]
-    assert df.select(S.stitch(F.lit("one two three"), F.lit("three four")), S.stitch(F.lit("one"), F.lit("two"))).first()[:] == ("one two three four", "one two")
+    assert df.select(S.stitch(F.lit("one two three"), F.lit("three four")), S.stitch(F.lit("one"), F.lit("two")), S.stitch(F.lit(""), F.lit("x")), S.stitch(F.lit("x"), F.lit(""))).first()[:] == ("one two three four", "one two", "x", "x")
 
 
 def test_textual_functions():
@@ -313,3 +313,28 @@ def test_seams(spark):
 
     rows = {r["k"]: r for r in M.apply(df, "embedding", picky).collect()}
     assert not rows[2]["success"] and rows[2]["error"] == "no" and rows[1]["success"] and len(rows[1]["embedding"]) == 4
+
+
+def test_interval_join_keeps_repeated_points(spark):
+    points = spark.createDataFrame([(1, 5), (1, 5), (1, 99), (2, 5)], "k int, at int")
+    segments = spark.createDataFrame([(1, 0, 9, 2), (1, 4, 70, 1)], "k int, s int, e int, num int")
+    got = O.interval_first_match(points, segments, ["k"], "at", "s", "e", "num").collect()
+    assert sorted(r["segment_num"] for r in got) == [0, 0, 1, 1]
+
+
+def test_word_error_rate_over_many_words(spark):
+    """More different words than lie below the surrogates, and more than three bytes reach."""
+    for n in (36_000, 44_000):
+        a, b = " ".join(f"w{k}" for k in range(n)), " ".join(f"w{k}" for k in range(n) if k % 1000 != 999)
+        ends = spark.createDataFrame([(a[-300:] + " x", a[-300:])], "a string, b string")
+        assert ends.select(A.word_error_rate(F.col("a"), F.col("b"))).first()[0] > 0
+        spelled = spark.range(n).select(A.code_point(A.word_place(F.col("id"))).alias("c"))
+        assert spelled.distinct().count() == n and spelled.where("c IS NULL OR length(c) <> 1").count() == 0
+
+
+def test_save_by_suffix(spark, tmp_path):
+    from quillstream.sources import files
+
+    df = spark.createDataFrame([(1, "é")], "a int, b string")
+    for name, read in (("x.json", spark.read.json), ("x.csv", lambda p: spark.read.csv(p, header=True, inferSchema=True)), ("x.parquet", spark.read.parquet), ("plain", spark.read.parquet)):
+        assert read(files.save(df, f"{tmp_path}/{name}")).select("a", "b").first()[:] == (1, "é")
