@@ -123,8 +123,9 @@ def induced_terms(texts: list[str | None], y: np.ndarray, share: float = 0.02, r
     return tuple(tuple(even[k : k + size]) for k in range(0, len(even) - 1, size))
 
 
-def fit(texts: list[str | None], toxic: list[int], groups=IDENTITY_TERMS, induce: bool = True, counterfactual: float = 10.0, ridge: float = 1e-4, limit: int = 6000, rounds: int = 300) -> ToxicityModel:
-    """Fit on labelled texts. counterfactual: weight of the mean squared change of the logit under the swap of identity terms."""
+def fit(texts: list[str | None], toxic: list[int], groups=IDENTITY_TERMS, induce: bool = True, counterfactual: float = 10.0, ridge: float = 1e-4, swaps: int = 1500, limit: int = 6000, rounds: int = 300) -> ToxicityModel:
+    """Fit on labelled texts. counterfactual: weight of the mean squared change of the logit under the swap of identity terms,
+    over at most ``swaps`` of the texts that hold one."""
     y = np.asarray(toxic, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel()
@@ -142,6 +143,7 @@ def fit(texts: list[str | None], toxic: list[int], groups=IDENTITY_TERMS, induce
 
     r, c = matrix(texts)
     touched = [i for i, t in enumerate(texts) if not terms.isdisjoint(WORD.findall((t or "").lower()))]
+    touched = touched[:: max(1, -(-len(touched) // swaps))]  # evenly spread
     swapped = matrix(swap_identity(texts[i], groups) for i in touched)
     own = matrix(texts[i] for i in touched)
     w, b, n = np.zeros(len(names)), float(np.log(y.mean() / (1 - y.mean()))), len(y)
@@ -152,7 +154,7 @@ def fit(texts: list[str | None], toxic: list[int], groups=IDENTITY_TERMS, induce
         grad, gb = np.bincount(c, g[r], len(w)) + ridge * w, g.sum()
         if touched:
             change = np.bincount(own[0], w[own[1]], len(touched)) - np.bincount(swapped[0], w[swapped[1]], len(touched))
-            change *= 2 * counterfactual / n
+            change *= 2 * counterfactual / len(touched)
             grad += np.bincount(own[1], change[own[0]], len(w)) - np.bincount(swapped[1], change[swapped[0]], len(w))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
