@@ -12,7 +12,8 @@ from ..operators import frames as G
 from ..operators import ordered as O
 from ..session import table
 from ..streaming import machines as R
-from .catalog import FRAMES, K, frames, query, r6
+from . import sql_folds as Q
+from .catalog import FRAMES, NUDGE, K, frames, query, r6
 
 
 @query("""SELECT user_id, count(*) FILTER (WHERE value >= 100 AND event_type IN ('click', 'view')) AS kept, count(*) AS entities FROM events GROUP BY user_id""")
@@ -146,7 +147,7 @@ def appended_text(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("conv_id", "turn", T.appended_count_udf()(a, b).alias("words"), F.md5(T.appended_restored_udf()(a, b)).alias("restored"), F.size(T.opcodes_udf()(a, b)).alias("opcodes"))
 
 
-@query()
+@query(Q.SPEECH_EVENTS)
 def speech_events(spark: SparkSession, d: str) -> DataFrame:
     """Start and end events of the hybrid machine's segments."""
     f = frames(spark, d).select(*K, F.col("frame_idx").alias("idx"), "prob")
@@ -163,11 +164,11 @@ def incremental_transcript(spark: SparkSession, d: str) -> DataFrame:
     return R.fold_batch(rows, ["conv_id"], ["idx"], R.incremental_transcript(), "idx long, is_continued boolean, new_text string")
 
 
-@query()
+@query(Q.SEGMENT_METADATA)
 def segment_metadata(spark: SparkSession, d: str) -> DataFrame:
     """A run's metadata as JSON; parts that are missing are left out."""
     runs = G.threshold_runs(frames(spark, d), K, F.col("value") >= 50, "prob", 2)
-    vad = F.struct(F.round("mean_prob", 4).alias("mean"), F.round("std_prob", 4).alias("std"))
+    vad = F.struct(F.round(F.col("mean_prob") + float(NUDGE), 4).alias("mean"), F.round(F.col("std_prob") + float(NUDGE), 4).alias("std"))
     meta = F.struct(F.concat(F.lit("segment_"), F.col("frame_start").cast("string")).alias("filename"), F.col("stream_id").alias("utterance_id"), F.round(F.col("frames") * 0.01, 3).alias("duration_sec"),
                     F.lit(16000).alias("sample_rate"), F.when(F.col("frames") > 3, vad).alias("vad_stats"))
     return runs.select(*K, "frame_start", F.to_json(meta).alias("meta"))
@@ -191,13 +192,13 @@ def stream_route(spark: SparkSession, d: str) -> DataFrame:
     return drain(rows.select("event_id", (F.least(F.col("value") / 200, F.lit(1.0)) >= 0.5).alias("is_speech"), "event_type"))
 
 
-@query()
+@query(Q.HOTWORDS)
 def stream_hotwords(spark: SparkSession, d: str) -> DataFrame:
     """The stateful fold of ``hotwords_decay`` over a stream of conversations."""
     from ..streaming.jobs import drain, file_stream
 
     rows = file_stream(spark, d, "conversations", 1000).select("conv_id", F.col("turn").alias("idx"), S.words(F.col("text")).alias("tokens"))
-    return drain(R.fold_stream(rows, ["conv_id"], ["idx"], R.decayed_words(), "idx int, rank int, word string, weight double"))
+    return drain(R.fold_stream(rows, ["conv_id"], ["idx"], R.decayed_words(), "idx int, rank int, word string, weight double")).withColumn("weight", r6("weight"))
 
 
 @query("""SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 8 AS batch, CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 8 AS INTEGER) AS slot FROM events""")

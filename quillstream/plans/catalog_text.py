@@ -15,6 +15,7 @@ from ..operators import vectors as V
 from ..session import table
 from ..sources import files as IO
 from ..streaming import machines as R
+from . import sql_folds as Q
 from .catalog import FRAMES, RUNS, K, frames, query, r6
 
 # --- aggregates --------------------------------------------------------------------------------------------------------
@@ -489,7 +490,7 @@ def json_columns_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return IO.rows_of_columns(wide, ["n_nationkey", "n_name"], ["n_name"])
 
 
-@query()
+@query(Q.CONFIG_HASH)
 def config_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", S.config_hash("n_nationkey", "n_name", "n_regionkey").alias("digest"))
 
@@ -527,38 +528,38 @@ def fuzzy_window(spark: SparkSession, d: str) -> DataFrame:
     return p.select("conv_id", "turn", T.fuzzy_window_udf()(F.col("q"), sentences(F.col("b"))).alias("m")).select("conv_id", "turn", "m.*")
 
 
-@query()
+@query(Q.HYBRID_VAD)
 def hybrid_vad(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d).select(*K, F.col("frame_idx").alias("idx"), "prob")
     step = R.hybrid_vad({"start_frames": 3, "end_silence": 4, "soft_limit": 20, "hard_limit": 40, "threshold": 0.4, "pad": 1})
     return R.fold_batch(f, K, ["idx"], step, "start int, end int, reason string")
 
 
-@query()
+@query(Q.CHUNK_ACCUMULATE)
 def chunk_accumulate(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d).select(*K, F.col("frame_idx").alias("idx"), (F.col("value") >= 50).alias("speech"))
     return R.fold_batch(f, K, ["idx"], R.chunk_accumulator(12, 2), "start int, end int, reason string")
 
 
-@query()
+@query(Q.CHUNK_CLASSIFY)
 def chunk_classify(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d).select(*K, F.col("frame_idx").alias("idx"), "prob", "rms")
     return R.fold_batch(f, K, ["idx"], R.chunk_classifier(), "start int, end int, reason string")
 
 
-@query()
+@query(Q.HOTWORDS)
 def hotwords_decay(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("idx"), S.words(F.col("text")).alias("tokens"))
-    return R.fold_batch(t, ["conv_id"], ["idx"], R.decayed_words(), "idx int, rank int, word string, weight double")
+    return R.fold_batch(t, ["conv_id"], ["idx"], R.decayed_words(), "idx int, rank int, word string, weight double").withColumn("weight", r6("weight"))
 
 
-@query()
+@query(Q.SPEAKERS)
 def incremental_speakers(spark: SparkSession, d: str) -> DataFrame:
     e = _vectors(spark, d).select((F.col("vec_id") % 20).alias("session"), F.col("vec_id").alias("idx"), F.col("embedding").alias("vector"))
-    return R.fold_batch(e, ["session"], ["idx"], R.speaker_ids(0.5), "idx long, speaker int, similarity double")
+    return R.fold_batch(e, ["session"], ["idx"], R.speaker_ids(0.5), "idx long, speaker int, similarity double").withColumn("similarity", r6("similarity"))
 
 
-@query()
+@query(Q.MEMORY_TIERS)
 def memory_tiers(spark: SparkSession, d: str) -> DataFrame:
     e = _vectors(spark, d).select("label", F.col("vec_id").alias("idx"), F.col("embedding").alias("vector"))
     return R.fold_batch(e, ["label"], ["idx"], R.memory_tiers(), "idx long, short int, medium int, long int")
@@ -596,7 +597,7 @@ def partial_search(spark: SparkSession, d: str) -> DataFrame:
     return X.find_offsets(pairs, "a", "b", "partial", 0.75).select("vec_id", "matches")
 
 
-@query()
+@query(Q.LONG_SPLIT)
 def long_segment_split(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.frames import merge_gaps, threshold_runs
 
@@ -640,7 +641,7 @@ def event_token_fold(spark: SparkSession, d: str) -> DataFrame:
     return R.event_tokens(e.select("user_id", F.struct("ts", "event_id").alias("at"), message.alias("m")), "user_id", "at", "m")
 
 
-@query()
+@query(Q.PENDING_PAIRS)
 def pending_pairs(spark: SparkSession, d: str) -> DataFrame:
     """User turns as early halves, the next assistant turns as late ones."""
     t = table(spark, d, "conversations").where("role <> 'system'")
@@ -648,10 +649,10 @@ def pending_pairs(spark: SparkSession, d: str) -> DataFrame:
     return R.fold_batch(halves, ["conv_id"], ["idx"], R.pending_pairs(), "id long, early string, late string")
 
 
-@query()
+@query(Q.PARTIAL_FINAL)
 def partial_final(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d).select(*K, F.col("frame_idx").alias("idx"), (F.col("value") / 100).alias("seconds"), (F.col("event_type") == "purchase").alias("end"))
-    return R.fold_batch(f, K, ["idx"], R.partial_final(), "idx int, kind string, seconds double")
+    return R.fold_batch(f, K, ["idx"], R.partial_final(), "idx int, kind string, seconds double").withColumn("seconds", r6("seconds"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '\n[^\n]*[ \t]+$') THEN md5(rtrim(text, ' ' || chr(9))) ELSE md5(text) END AS digest FROM documents""")
