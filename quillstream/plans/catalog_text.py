@@ -503,7 +503,7 @@ def _turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("conv_id", "turn", F.col("prev_text").alias("a"), F.col("text").alias("b"))
 
 
-@query()
+@query(Q.NEW_TEXT)
 def new_text_prefix(spark: SparkSession, d: str) -> DataFrame:
     p = _turn_pairs(spark, d)
     return p.select("conv_id", "turn", S.common_prefix(F.col("a"), F.col("b")).alias("prefix"), F.md5(S.new_text(F.col("a"), F.col("b"))).alias("new_text"), F.md5(S.new_sentences(F.col("a"), F.col("b"))).alias("new_sentences"))
@@ -577,7 +577,7 @@ def embedding_seam(spark: SparkSession, d: str) -> DataFrame:
     return M.apply(docs, "embedding", M.stub_embedding("text")).select("doc_id", "embedding", "success")
 
 
-@query()
+@query(Q.LANGUAGE)
 def language_seam(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "text", "lang")
     return M.apply(docs, "language", M.stub_language("text")).select("doc_id", "lang", "lang_label", "lang_score")
@@ -616,7 +616,7 @@ def segment_slices(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*K, "frame_start", "frame_end", "frames", *[r6(c).alias(c) for c in ("mean", "min", "max", "std", "median", "rms")])
 
 
-@query()
+@query(Q.PHRASES)
 def phrase_alignment(spark: SparkSession, d: str) -> DataFrame:
     """A stream's event types as words, in phrases of four."""
     f = frames(spark, d)
@@ -660,12 +660,12 @@ def trailing_blank(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(S.strip_trailing_blank(F.col("text"))).alias("digest"))
 
 
-@query()
+@query(Q.WER_TEXT)
 def normalised_wer_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(T.normalise_wer_udf()(F.col("text"))).alias("digest"))
 
 
-@query()
+@query(Q.JAPANESE)
 def split_sentences_ja(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.size(S.split_sentences_ja(F.col("text"))).alias("n"))
 

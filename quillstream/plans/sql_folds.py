@@ -1,4 +1,4 @@
-"""SQL for the state machines and other folds: recursive queries that take each stream one row further per round."""
+"""SQL for the state machines and other folds (recursive queries that take each stream one row further per round), and for text steps."""
 
 from __future__ import annotations
 
@@ -91,3 +91,31 @@ CONFIG_HASH = """SELECT n_nationkey, md5('{"n_name":"' || n_name || '","n_nation
 
 SEGMENT_METADATA = RUNS + """ SELECT stream_id, frame_start, '{"filename":"segment_' || frame_start || '","utterance_id":' || stream_id || ',"duration_sec":' || round(frames * 0.01::DOUBLE, 3) || ',"sample_rate":16000'
  || CASE WHEN frames > 3 THEN ',"vad_stats":{"mean":' || round(mean_prob + 3e-9, 4) || ',"std":' || round(std_prob + 3e-9, 4) || '}' ELSE '' END || '}' AS meta FROM r WHERE frames >= 2"""
+
+PHRASES = FRAMES + """, g AS (SELECT stream_id, frame_idx // 4 AS k, list(event_type ORDER BY frame_idx) AS words, min(frame_idx) AS first, max(frame_idx) AS last FROM f GROUP BY ALL)
+SELECT stream_id, CAST(k AS INTEGER) AS "index", array_to_string(words, '') AS phrase, words, first::DOUBLE AS "start", last + 1.0::DOUBLE AS "end" FROM g"""
+
+# Marks at which a text is cut become a control character that no text holds.
+JAPANESE = r"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[\s\x{0B}\x{85}\p{Z}]+', ' ', 'g'), '[\x{2600}-\x{26FF}\x{2700}-\x{27BF}\x{1F300}-\x{1FAFF}]+', chr(1), 'g'), '([。！？、…])', '\1' || chr(1), 'g') AS t FROM documents)
+SELECT doc_id, CAST(len(list_filter(string_split(t, chr(1)), lambda s: trim(s) <> '')) AS INTEGER) AS n FROM m"""
+
+PAIRS = """WITH p AS (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a, text AS b FROM conversations)"""
+
+NEW_TEXT = PAIRS + r""", n AS (SELECT *, len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: left(a, i) = left(b, i))) AS n,
+  list_filter(regexp_extract_all(a, '[^。！？…\n]*(?:[。！？…]+\n*|\n+|$)'), lambda s: s <> '') AS x, list_filter(regexp_extract_all(b, '[^。！？…\n]*(?:[。！？…]+\n*|\n+|$)'), lambda s: s <> '') AS y FROM p WHERE a IS NOT NULL),
+z AS (SELECT *, list_filter(range(1, least(len(x), len(y)) + 1), lambda i: rtrim(x[i], '。、，．！？!?.,…・「」『』（）()[]【】　 ' || chr(9) || chr(13) || chr(10)) <> rtrim(y[i], '。、，．！？!?.,…・「」『』（）()[]【】　 ' || chr(9) || chr(13) || chr(10))) AS other FROM n)
+SELECT conv_id, turn, CAST(n AS INTEGER) AS prefix, md5(regexp_replace(substr(b, n + 1), '^[\s\x{0B}]+', '')) AS new_text, md5(coalesce(array_to_string(y[coalesce(list_min(other), least(len(x), len(y)) + 1):], ''), '')) AS new_sentences FROM z"""
+
+# NFKC is not in SQL; these tables hold no characters that it changes beyond the canonical form.
+WER_TEXT = r"""SELECT doc_id, md5(trim(regexp_replace(lower(regexp_replace(nfc_normalize(text), '\p{P}', ' ', 'g')), '[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+', ' ', 'g'))) AS digest FROM documents"""
+
+# The small words and scripts are the stand-in's, spelled out.
+LANGUAGE = r"""WITH t AS (SELECT doc_id, lang, text, array_to_string(regexp_extract_all(text, '\p{L}'), '') AS l FROM documents),
+c AS (SELECT doc_id, lang, length(l) AS letters, [len(regexp_extract_all(l, '[\x{3040}-\x{30FF}]')), len(regexp_extract_all(l, '[\x{4E00}-\x{9FFF}]')), len(regexp_extract_all(l, '[\x{AC00}-\x{D7AF}]')),
+   len(regexp_extract_all(l, '[\x{0400}-\x{04FF}]')), len(regexp_extract_all(l, '[\x{0600}-\x{06FF}]'))] AS n,
+  list_transform(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''), lambda w: trim(w, '.,!?;:')) AS words FROM t),
+h AS (SELECT *, list_transform([['fr', 'le', 'la', 'les', 'des', 'est', 'dans', 'que', 'pour', 'qui', 'une'], ['es', 'el', 'la', 'de', 'que', 'los', 'en', 'por', 'una', 'con', 'las'],
+  ['en', 'the', 'and', 'of', 'to', 'in', 'is', 'that', 'it', 'was', 'for'], ['de', 'der', 'die', 'und', 'das', 'den', 'ist', 'von', 'nicht', 'mit', 'auf']], lambda l: len(list_filter(words, lambda w: list_contains(l[2:], w)))) AS hits FROM c),
+s AS (SELECT *, coalesce(list_position([n[1] > letters * 0.1, n[2] > letters * 0.3, n[3] > letters * 0.3, n[4] > letters * 0.3, n[5] > letters * 0.3], true), 0) AS script FROM h)
+SELECT doc_id, lang, CASE WHEN letters = 0 THEN 'unknown' WHEN script > 0 THEN ['ja', 'zh', 'ko', 'ru', 'ar'][script] WHEN list_max(hits) = 0 THEN 'unknown' ELSE ['fr', 'es', 'en', 'de'][list_position(hits, list_max(hits))] END AS lang_label,
+ CASE WHEN letters = 0 THEN 0.0 WHEN script > 0 THEN n[script] / letters WHEN list_max(hits) = 0 THEN 0.0 ELSE list_max(hits) / list_sum(hits) END AS lang_score FROM s"""
