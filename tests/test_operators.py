@@ -338,3 +338,19 @@ def test_save_by_suffix(spark, tmp_path):
     df = spark.createDataFrame([(1, "é")], "a int, b string")
     for name, read in (("x.json", spark.read.json), ("x.csv", lambda p: spark.read.csv(p, header=True, inferSchema=True)), ("x.parquet", spark.read.parquet), ("plain", spark.read.parquet)):
         assert read(files.save(df, f"{tmp_path}/{name}")).select("a", "b").first()[:] == (1, "é")
+
+
+def test_incremental_transcript():
+    step, state, made = R.incremental_transcript(), {}, []
+    for k, text in enumerate(["hello there", "hello there my friend", None, "hello", "a quite different text"]):
+        state, out = step(state, {"idx": k, "text": text})
+        made += [(o["is_continued"], o["new_text"]) for o in out]
+    assert made == [(False, "hello there"), (True, "my friend"), (False, ""), (False, "hello"), (False, "a quite different text")]
+
+
+def test_seeded_sample(spark):
+    rows = spark.range(500).withColumnRenamed("id", "k")
+    taken = [r["k"] for r in O.seeded_sample(rows, "k", 100).collect()]
+    assert len(set(taken)) == 100 and taken == [r["k"] for r in O.seeded_sample(rows.repartition(7), "k", 100).collect()]
+    assert taken != [r["k"] for r in O.seeded_sample(rows, "k", 100, seed=7).collect()]
+    assert O.seeded_sample(rows.limit(0), "k", 100).count() == 0
