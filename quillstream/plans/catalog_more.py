@@ -129,7 +129,7 @@ def running_energy(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*K, r6("min").alias("rms_min"), r6("max").alias("rms_max"), r6("mean").alias("rms_avg"), r6("std").alias("rms_std"))
 
 
-@query()
+@query(Q.TEXT_STEPS)
 def text_steps(spark: SparkSession, d: str) -> DataFrame:
     """Dot words glued, line ends expanded, symbol blocks split, comments and logging calls removed."""
     t = F.col("text")

@@ -119,3 +119,11 @@ h AS (SELECT *, list_transform([['fr', 'le', 'la', 'les', 'des', 'est', 'dans',
 s AS (SELECT *, coalesce(list_position([n[1] > letters * 0.1, n[2] > letters * 0.3, n[3] > letters * 0.3, n[4] > letters * 0.3, n[5] > letters * 0.3], true), 0) AS script FROM h)
 SELECT doc_id, lang, CASE WHEN letters = 0 THEN 'unknown' WHEN script > 0 THEN ['ja', 'zh', 'ko', 'ru', 'ar'][script] WHEN list_max(hits) = 0 THEN 'unknown' ELSE ['fr', 'es', 'en', 'de'][list_position(hits, list_max(hits))] END AS lang_label,
  CASE WHEN letters = 0 THEN 0.0 WHEN script > 0 THEN n[script] / letters WHEN list_max(hits) = 0 THEN 0.0 ELSE list_max(hits) / list_sum(hits) END AS lang_score FROM s"""
+
+# A statement that calls a logger goes as its first line; these tables hold none that runs over several.
+TEXT_STEPS = r"""WITH c AS (SELECT doc_id, text,
+  regexp_replace(text, '(\x22{3}(?s:.*?)(?:\x22{3}|\z)|''''''(?s:.*?)(?:''''''|\z)|\x22(?:\\(?s:.)|[^\x22\\\n])*\x22?|''(?:\\(?s:.)|[^''\\\n])*''?)|#[^\n]*', '\1', 'g') AS code FROM documents)
+SELECT doc_id, md5(replace(replace(trim(regexp_replace(text, '[\s\x{0B}]+', ' ', 'g')), ' .', '.'), '. ', '.')) AS dots,
+ CAST(len(regexp_extract_all(text, '\n+')) + 1 + length(text) - length(replace(text, chr(10), '')) AS INTEGER) AS segments,
+ CAST(len(list_filter(regexp_split_to_array(text, '[\x{2600}-\x{26FF}\x{2700}-\x{27BF}\x{1F300}-\x{1FAFF}]+'), lambda s: regexp_matches(s, '[^\s\x{0B}\x{85}\p{Z}]'))) AS INTEGER) AS symbols,
+ md5(array_to_string(list_filter(list_transform(string_split(code, chr(10)), lambda l: regexp_replace(l, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+$', '')), lambda l: NOT regexp_matches(l, '^\s*(logger\.|logging\.|print\(|console\.)')), chr(10))) AS code FROM c"""
