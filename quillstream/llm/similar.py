@@ -3,12 +3,14 @@
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is ``least`` (0.8) or more; groups are the
 components of the links. Texts of equal sets fold into one row first. Pairs meet in runs: a row has a key in each of
 ``bands`` bands, the least hashes of its shingles under ``rows`` functions, so a pair of similarity s meets with
-probability 1 - (1 - s^rows)^bands (0.9996 at 0.8, all but certain above). Within a run nothing is capped or guessed:
+probability 1 - (1 - s^rows)^bands (0.9996 at 0.8, all but certain above). Bands only bring rows together; each pair of a run then goes
+through SimHash fingerprints (512 bits) and tables of their Hamming distances to reference fingerprints of the run, and only what these leave is
+verified by the exact similarity of the sets. Nothing is capped or guessed:
 
-1. every row is compared with two rows of the run, which settles the groups of copies of one text;
-2. runs that still hold several groups are searched: a table of Hamming distances from each row's SimHash fingerprint (512 bits) to
-   reference fingerprints of the run discards every pair whose largest coordinate difference is beyond what linked
-   fingerprints differ by, and the survivors are verified by the exact similarity of their sets. A run yields a spanning forest.
+1. two rows of each run are its first references: the table holds every row's distance to both, rows beyond what linked fingerprints
+   differ by are discarded, the others verified, which settles the groups of copies of one text;
+2. runs that still hold several groups are searched by a table of distances to more references of the run, which discards every pair
+   whose largest coordinate difference is beyond that limit; the survivors are verified. A run yields a spanning forest.
 
 Fingerprints are wide because 64 bits can't tell 0.8 from chance within a run (about 10 bits differ, 17 must be allowed, and
 distances to a reference then differ by less than that for unrelated texts too). With 512 bits a pair at 0.8 differs in 78 bits
@@ -146,14 +148,40 @@ def link_sets(ids: list[int], roots: list[int], sets: list[np.ndarray], prints:
 
 
 def in_runs(keyed: DataFrame) -> DataFrame:
-    """The rows (id, b, key) that share their key with others, and the number ``n`` of those."""
-    runs = keyed.groupBy("b", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keyed.join(runs, ["b", "key"])
+    """The rows (id, b, key) that share their key with others. One shuffle; runs stream past in order, so one of any length takes no memory."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None  # the last row so far
+        given = False  # whether that row has been given out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b, key = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            same = (b[1:] == b[:-1]) & (key[1:] == key[:-1])
+            keep = np.zeros(len(b), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            if last is not None and last.column(1)[0].as_py() == b[0] and last.column(2)[0].as_py() == key[0]:
+                keep[0] = True
+                if not given:
+                    yield last
+            yield batch.filter(pa.array(keep))
+            last, given = batch.slice(len(b) - 1), bool(keep[-1])
+
+    ordered = keyed.select("id", "b", "key").repartition("b", "key").sortWithinPartitions("b", "key")
+    return ordered.mapInArrow(shared, "id long, b int, key long")
 
 
 def links(sets: DataFrame, keyed: DataFrame, least: float = 0.8) -> DataFrame:
     """Edges (u, v) over ids. keyed: the rows of ``in_runs``; sets (id, hashes: the bytes of a sorted set) holds the sets of their ids, which
-    are different."""
+    are different, and their fingerprints (print: the bytes)."""
+    limit = hamming_limit(least)
+
+    def tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, reference = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in batch.columns[2:])
+            far = np.bitwise_count(own ^ reference).sum(1, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(far <= limit))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,23 +189,23 @@ def links(sets: DataFrame, keyed: DataFrame, least: float = 0.8) -> DataFrame:
             good = [similarity(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) >= least for a, b in pairs]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    # Every row of a run is compared with two of the run: those of the least and the greatest hash.
+    # The first references of a run: its rows of the least and the greatest hash. Rows beyond the limit from them are discarded before any set is read.
     mark = F.struct(F.xxhash64("id").alias("h"), "id")
-    heads = keyed.groupBy("b", "key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).select("b", "key", F.explode(F.array("low.id", "high.id")).alias("v"))
-    star = keyed.join(heads, ["b", "key"]).where("id <> v").select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
+    heads = keyed.groupBy("b", "key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).select("b", "key", F.col("low.id").alias("low"), F.col("high.id").alias("high"))
+    met = keyed.select("id", "b", "key").join(heads, ["b", "key"])
+    star = met.select("id", F.explode(F.array("low", "high")).alias("v")).where("id <> v").select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
+    star = star.join(sets.select(F.col("id").alias("u"), F.col("print").alias("p")), "u").join(sets.select(F.col("id").alias("v"), F.col("print").alias("q")), "v")
+    star = written(star.select("u", "v", "p", "q").mapInArrow(tabled, "u long, v long"))
     star = star.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("y")), "v")
     roots = written(connected_components(star.select("u", "v", "x", "y").mapInArrow(compared, "u long, v long")).withColumnRenamed("node", "id"))
-    labelled = written(keyed.select("id", "b", "key").join(roots, "id", "left").select("id", "b", "key", F.coalesce("root", "id").alias("root")))
-    open_runs = labelled.groupBy("b", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("b", "key")
+    # The two references are compared with all of the run; among the others, a run with one group left is settled, and runs of the same rows are one.
+    others = met.where("id <> low AND id <> high").select("id", "b", "key")
+    labelled = written(others.join(roots, "id", "left").select("id", "b", "key", F.coalesce("root", "id").alias("root")))
+    same = [F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (0, 1))]
+    open_runs = labelled.groupBy("b", "key").agg(F.min("root").alias("least"), F.max("root").alias("most"), *same).where("least < most")
+    open_runs = open_runs.groupBy("n", "x0", "x1").agg(F.min(F.struct("b", "key")).alias("run")).select("run.*")
     searched = written(labelled.join(open_runs, ["b", "key"]))
-
-    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [wide_fingerprint(np.frombuffer(x.as_py(), np.uint64)).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=["id", "hashes", "print"])
-
-    marked = sets.join(searched.select("id").distinct(), "id", "left_semi").mapInArrow(printed, "id long, hashes binary, print binary")
-    searched = searched.join(marked, "id").select("b", "key", "id", "root", "hashes", "print")
+    searched = searched.join(sets, "id").select("b", "key", "id", "root", "hashes", "print")
     searched = searched.repartition("b", "key").sortWithinPartitions("b", "key", "id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,8 +252,9 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 2
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingles(x.as_py(), width).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "hashes"])
+            made = [shingles(x.as_py(), width) for x in batch.column(1)]
+            columns = [[x.tobytes() for x in made], [wide_fingerprint(x).tobytes() for x in made]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in columns)], names=["id", "hashes", "print"])
 
     # Of rows with one set, the row of the least doc_id; a row's own number tells equal doc_ids apart.
     row = free(docs, "_row")
@@ -234,11 +263,12 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 2
     ids = marked.select(F.col("doc_id").alias("d"), F.col(mark).alias("id"), F.col(row).alias("r"), F.col(held).alias("keys"))
     first = F.min(F.struct(F.col("d").isNull(), "d", "r")).alias("w")
     folded = written(ids.groupBy("id").agg(first, F.first("keys").alias("keys")))
-    keyed = written(in_runs(folded.select("id", "keys").mapInArrow(spread, "id long, b int, key long")).drop("n"))
-    # Only texts that meet another are cut into shingles again, for their sets.
-    meeting = folded.join(keyed.select("id").distinct(), "id", "left_semi").select("id", F.col("w.r").alias("r"))
+    keyed = written(in_runs(folded.select("id", "keys").mapInArrow(spread, "id long, b int, key long")))
+    # Only texts that meet another are cut into shingles again, for their sets and fingerprints. Written, as the planner then knows how few they are and
+    # needn't shuffle all texts to find them.
+    meeting = written(folded.join(keyed.select("id").distinct(), "id", "left_semi").select("id", F.col("w.r").alias("r")))
     chosen = marked.select(F.col(row).alias("r"), "text").join(meeting, "r").select("id", "text")
-    sets = written(chosen.mapInArrow(hashed, "id long, hashes binary"))
+    sets = written(chosen.mapInArrow(hashed, "id long, hashes binary, print binary"))
     roots = written(connected_components(links(sets, keyed, least)).withColumnRenamed("node", "id"))
     grouped = folded.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("w").alias("w"))
     winners = written(grouped.select(F.col("w.r").alias(row)))
