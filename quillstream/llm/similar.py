@@ -232,6 +232,15 @@ def links(sets: DataFrame, keyed: DataFrame, least: float = 0.8) -> DataFrame:
     return settled.unionByName(searched.mapInArrow(search, "u long, v long"))
 
 
+def of_rows(table: DataFrame, row: str, some: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose number ``row`` is in ``some`` (r). One row of bits stands for 64 numbers, so that Spark can send them to
+    all tasks, and needn't shuffle whole texts, for a far larger table."""
+    bits = some.groupBy(F.expr("shiftright(r, 6)").alias("_block")).agg(F.expr("bit_or(shiftleft(1L, cast(r & 63 AS int)))").alias("_bits"))
+    t, b = table.alias("t"), written(bits).alias("b")
+    own = F.expr(f"shiftright(t.`{row}`, 6) = b._block AND shiftright(b._bits, cast(t.`{row}` & 63 AS int)) & 1 = 1")
+    return t.join(b, own, "left_semi")
+
+
 def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 20, rows: int = 5) -> DataFrame:
     """One row of each group stays, with all its columns: that of the least doc_id (nulls last; of equal doc_ids any one)."""
     columns, mark, held = docs.columns, free(docs, "_set"), free(docs, "_keys")
@@ -264,12 +273,10 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 2
     first = F.min(F.struct(F.col("d").isNull(), "d", "r")).alias("w")
     folded = written(ids.groupBy("id").agg(first, F.first("keys").alias("keys")))
     keyed = written(in_runs(folded.select("id", "keys").mapInArrow(spread, "id long, b int, key long")))
-    # Only texts that meet another are cut into shingles again, for their sets and fingerprints. Written, as the planner then knows how few they are and
-    # needn't shuffle all texts to find them.
-    meeting = written(folded.join(keyed.select("id").distinct(), "id", "left_semi").select("id", F.col("w.r").alias("r")))
-    chosen = marked.select(F.col(row).alias("r"), "text").join(meeting, "r").select("id", "text")
+    # Only texts that meet another are cut into shingles again, for their sets and fingerprints.
+    meeting = folded.join(keyed.select("id").distinct(), "id", "left_semi").select(F.col("w.r").alias("r"))
+    chosen = of_rows(marked, row, meeting).select(F.col(mark).alias("id"), "text")
     sets = written(chosen.mapInArrow(hashed, "id long, hashes binary, print binary"))
     roots = written(connected_components(links(sets, keyed, least)).withColumnRenamed("node", "id"))
     grouped = folded.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("w").alias("w"))
-    winners = written(grouped.select(F.col("w.r").alias(row)))
-    return marked.join(winners, row, "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    return of_rows(marked, row, grouped.select(F.col("w.r").alias("r"))).select(*[F.col(f"`{c}`") for c in columns])
